@@ -58,7 +58,7 @@ def token_stats(words: Column) -> dict[str, Column]:
 
 def lexicon_hits(words: Column, lexicon: Mapping[str, Sequence[str]]) -> dict[str, Column]:
     """Hits of each term list among the words of a row; needs no join and no shuffle."""
-    return {
-        kind: F.size(F.filter(words, lambda w, terms=tuple(terms): w.isin(*terms)))
-        for kind, terms in lexicon.items()
-    }
+    def hits(terms: Sequence[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*terms)))
+
+    return {kind: hits(terms) for kind, terms in lexicon.items()}

@@ -40,8 +40,7 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     rare = F.when(F.col("n") <= 64, F.substring(F.md5("token"), 1, 3)).otherwise("")
     bucket = F.concat(F.lpad((F.lit(9999) - steps).cast("string"), 4, "0"), rare)
     order = [F.col("n").desc(), F.md5("token"), F.col("token")]
-    ranked = global_rank(counts, bucket, order, "__rank")
-    return ranked.withColumn("token_id", F.col("__rank") + FIRST_ID).drop("__rank")
+    return global_rank(counts, bucket, order, "token_id").withColumn("token_id", F.col("token_id") + FIRST_ID)
 
 
 def skew_safe_join(facts: DataFrame, table: DataFrame, key: str, counts: DataFrame | None = None,
