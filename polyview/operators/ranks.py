@@ -49,6 +49,35 @@ def seeded_rank(df: DataFrame, key: Sequence[str], seed: int | str, name: str =
     return global_rank(keyed, F.substring("__hash", 1, digits), order, name).drop("__hash")
 
 
+def number_copies(df: DataFrame, seed: int | str, name: str = "row_id", digits: int = PREFIX_DIGITS,
+                  chunk: int = 100_000) -> DataFrame:
+    """Adds a 0-based row id to a table without a key.
+
+    Equal rows cannot be told apart, so they are counted first, the distinct
+    rows are ranked in seeded order, and each gets a run of ids as long as its
+    count.  Runs are unrolled in chunks spread over the cluster, so copies of
+    one row may be any share of the table.
+    """
+    columns = df.columns
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
+    keyed = counted.withColumn("__hash", seeded_hash(text, seed)).withColumn("__bucket", F.substring("__hash", 1, digits))
+    totals = keyed.groupBy("__bucket").agg(F.sum("__n").alias("__size"))
+    upto = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = totals.select("__bucket", (F.sum("__size").over(upto) - F.col("__size")).alias("__before"))
+    inside = Window.partitionBy("__bucket").orderBy("__hash", *columns).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    first = F.col("__before") + F.sum("__n").over(inside) - F.col("__n")
+    runs = keyed.join(F.broadcast(starts), "__bucket").withColumn("__first", first)
+    last = F.col("__first") + F.col("__n") - 1
+    chunks = runs.select(
+        *columns, last.alias("__last"), F.explode(F.sequence("__first", last, F.lit(chunk).cast("bigint"))).alias("__from")
+    ).repartition("__from")
+    upper = F.least(F.col("__from") + chunk - 1, F.col("__last"))
+    return chunks.select(*columns, F.explode(F.sequence("__from", upper)).alias(name))
+
+
 def seeded_shuffle(df: DataFrame, key: Sequence[str], seed: int | str) -> DataFrame:
     """All rows in seeded order: a range-partitioned sort on the hash."""
     hashed = df.withColumn("shuffle_key", seeded_hash(list(key), seed))

@@ -8,6 +8,7 @@ from polyview.functions import text as X
 from polyview.operators import batches, ranks
 from polyview.plans.base import query, table
 from polyview.schema import GATE_BATCH, SPLIT_SEED
+from polyview.session import spread
 
 ROW_SEED = 0
 MAX_STEPS = 10
@@ -29,9 +30,11 @@ def numbered(spark, sf_dir):
 
 def padded(spark, sf_dir):
     """Words of the whole texts, padded to the longest text of their batch."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("words"))
-    rows = ranks.mini_batches(ranks.seeded_rank(docs, ["doc_id"], ROW_SEED), GATE_BATCH)
-    return batches.pad_batches(rows, "words", F.lit("<pad>"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = docs.select("doc_id", X.tokens(F.col("text")).alias("words"))
+    lengths = docs.select("doc_id", F.size("words").alias("real_len"))
+    rows = ranks.mini_batches(ranks.seeded_rank(lengths, ["doc_id"], ROW_SEED), GATE_BATCH)
+    return batches.pad_rows(docs.join(batches.batch_lengths(rows), "doc_id"), "words", F.lit("<pad>"))
 
 
 @query("global_row_id", f"WITH {ROWS_SQL} SELECT doc_id, row_id FROM rows")
@@ -39,6 +42,20 @@ def global_row_id(spark, sf_dir):
     return numbered(spark, sf_dir).select("doc_id", "row_id")
 
 
+COPY_KEY = ["l_returnflag", "l_linestatus", "l_linenumber"]
+
+
+@query(
+    "global_row_id_copies",
+    f"""SELECT l_returnflag, l_linestatus, l_linenumber,
+        row_number() OVER (ORDER BY md5('{ROW_SEED}:' || l_returnflag || ':' || l_linestatus || ':' || l_linenumber)) - 1 AS row_id
+    FROM lineitem""",
+)
+def global_row_id_copies(spark, sf_dir):
+    """Row ids for a table without a key, where a few rows repeat very often."""
+    return ranks.number_copies(table(spark, sf_dir, "lineitem").select(*COPY_KEY), ROW_SEED)
+
+
 @query("mini_batches", f"WITH {ROWS_SQL} SELECT doc_id, row_id, row_id // {GATE_BATCH} AS batch_id FROM rows")
 def mini_batches(spark, sf_dir):
     return ranks.mini_batches(numbered(spark, sf_dir), GATE_BATCH).select("doc_id", "row_id", "batch_id")

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from polyview.functions import text as X, vectors as V
 from polyview.operators import experts, labels, metrics, ranks, routing, tokens, views
 from polyview.plans.base import q6, query, r6, table
-from polyview.plans.corpora import EXAMPLES_SQL, examples
+from polyview.plans.corpora import EXAMPLES_SQL, sentiment
 from polyview.plans.order import WORDS_SQL
 from polyview.schema import DIMENSIONS, LABEL_TO_ID, SPLIT_SEED
-from polyview.session import stored
+from polyview.session import spread, stored
 
 SHORT, LONG = 64, 2048
 HASH_WIDTH = 64
@@ -26,8 +26,14 @@ LEXICON = {
 
 
 def worded(spark, sf_dir) -> DataFrame:
-    """``doc_id, text, words`` of all documents, whole texts."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text", X.tokens(F.col("text")).alias("words"))
+    """``doc_id, words`` of all documents, whole texts."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", X.tokens(F.col("text")).alias("words"))
+
+
+def token_table(spark, sf_dir) -> DataFrame:
+    """The same, tokenised once and stored: the fitted views read it several times."""
+    return stored(worded(spark, sf_dir), "words")
 
 
 WORDED_SQL = f"worded AS (SELECT doc_id, text, {WORDS_SQL} AS words FROM documents)"
@@ -66,9 +72,8 @@ def vocabulary(spark, sf_dir):
     FROM occurrences JOIN vocab USING (token) GROUP BY 1""",
 )
 def vocab_encode(spark, sf_dir):
-    docs = worded(spark, sf_dir)
-    counts = tokens.token_counts(docs, "words")
-    vocab = stored(tokens.vocabulary(counts), "vocabulary")
+    docs = token_table(spark, sf_dir)
+    vocab = stored(tokens.vocabulary(tokens.token_counts(docs, "words")), "vocabulary")
     ids = tokens.encode(docs, "doc_id", "words", vocab, vocab.select("token", "n"))
     return ids.select("doc_id", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("ids"))
 
@@ -82,7 +87,7 @@ def vocab_encode(spark, sf_dir):
 )
 def vocab_encode_unseen(spark, sf_dir):
     """Vocabulary of the labelled documents only; all documents are encoded."""
-    docs = worded(spark, sf_dir)
+    docs = token_table(spark, sf_dir)
     known = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     vocab = stored(tokens.vocabulary(tokens.token_counts(known, "words")), "vocabulary")
     ids = tokens.encode(docs, "doc_id", "words", vocab)
@@ -114,7 +119,7 @@ def view_token_stats(spark, sf_dir):
 
 @query("view_semantic")
 def view_semantic(spark, sf_dir):
-    docs = worded(spark, sf_dir)
+    docs = token_table(spark, sf_dir)
     rows = tokens.tf_idf(docs, "words", tokens.fit_idf(docs, "words", HASH_WIDTH), HASH_WIDTH, "vec")
     return rows.select("doc_id", F.posexplode("vec").alias("pos", "v")).select("doc_id", "pos", r6(F.col("v")).alias("v"))
 
@@ -128,7 +133,8 @@ def view_semantic(spark, sf_dir):
 def view_numeric(spark, sf_dir):
     features = X.numeric_features(F.col("text"))
     features["digit_share"] = r6(features["digit_share"])
-    return table(spark, sf_dir, "documents").select("doc_id", *[v.alias(k) for k, v in features.items()])
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", *[v.alias(k) for k, v in features.items()])
 
 
 @query(
@@ -158,20 +164,17 @@ ODDS_SQL = f"""{EXAMPLES_SQL}, numbered AS (
 )"""
 
 
-def labelled_words(spark, sf_dir) -> DataFrame:
-    """Labelled documents with words, label id and exact split."""
-    rows = examples(spark, sf_dir).select(
-        "doc_id",
-        F.col("input").alias("text"),
-        X.tokens(F.col("input")).alias("words"),
-        labels.label_to_id_strict(F.col("output"), LABEL_TO_ID).alias("y"),
+def labelled(spark, sf_dir, docs: DataFrame) -> DataFrame:
+    """The labelled rows of ``docs`` with label id and exact split."""
+    marks = table(spark, sf_dir, "labels").select(
+        "doc_id", labels.label_to_id_strict(sentiment(), LABEL_TO_ID).alias("y")
     )
-    return ranks.split_exact(rows, ["doc_id"], 0.2, SPLIT_SEED)
+    marks = marks.join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_semi")
+    return docs.join(ranks.split_exact(marks, ["doc_id"], 0.2, SPLIT_SEED), "doc_id")
 
 
-def sentiment_table(rows: DataFrame) -> DataFrame:
-    train = rows.where(F.col("split") == "train")
-    return stored(tokens.log_odds(train, "words", "y", N_CLASSES), "log-odds")
+def fitted_odds(rows: DataFrame) -> DataFrame:
+    return tokens.log_odds(rows.where(F.col("split") == "train"), "words", "y", N_CLASSES)
 
 
 @query(
@@ -179,8 +182,8 @@ def sentiment_table(rows: DataFrame) -> DataFrame:
     f"WITH {ODDS_SQL} SELECT token, {', '.join(q6(f'w_{c}') + f' AS w_{c}' for c in range(3))} FROM odds",
 )
 def log_odds(spark, sf_dir):
-    table_ = tokens.log_odds(labelled_words(spark, sf_dir).where(F.col("split") == "train"), "words", "y", N_CLASSES)
-    return table_.select("token", *[r6(F.col("w")[c]).alias(f"w_{c}") for c in range(N_CLASSES)])
+    odds = fitted_odds(labelled(spark, sf_dir, token_table(spark, sf_dir)))
+    return odds.select("token", *[r6(F.col("w")[c]).alias(f"w_{c}") for c in range(N_CLASSES)])
 
 
 @query(
@@ -190,16 +193,19 @@ def log_odds(spark, sf_dir):
     FROM occurrences LEFT JOIN odds USING (token) GROUP BY 1""",
 )
 def view_sentiment(spark, sf_dir):
-    odds = sentiment_table(labelled_words(spark, sf_dir))
-    means = tokens.mean_log_odds(worded(spark, sf_dir), "doc_id", "words", odds, N_CLASSES)
+    docs = token_table(spark, sf_dir)
+    odds = stored(fitted_odds(labelled(spark, sf_dir, docs)), "log-odds")
+    means = tokens.mean_log_odds(docs, "doc_id", "words", odds, N_CLASSES)
     return means.select("doc_id", *[r6(F.col(f"s_{c}")).alias(f"s_{c}") for c in range(N_CLASSES)])
 
 
 def four_views(spark, sf_dir) -> DataFrame:
     """``doc_id, split, y`` and one vector column per dimension, of the labelled documents."""
-    rows = labelled_words(spark, sf_dir)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    rows = stored(labelled(spark, sf_dir, docs.withColumn("words", X.tokens(F.col("text")))), "labelled")
+    odds = stored(fitted_odds(rows), "log-odds")
     idf = tokens.fit_idf(rows.where(F.col("split") == "train"), "words", HASH_WIDTH)
-    means = tokens.mean_log_odds(rows, "doc_id", "words", sentiment_table(rows), N_CLASSES)
+    means = tokens.mean_log_odds(rows, "doc_id", "words", odds, N_CLASSES)
     rows = tokens.tf_idf(rows, "words", idf, HASH_WIDTH, "Semantic")
     stats = {**X.numeric_features(F.col("text")), **X.token_stats(F.col("words"))}
     hits = X.lexicon_hits(F.col("words"), LEXICON)

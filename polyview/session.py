@@ -17,6 +17,8 @@ SETTINGS = {
     # Wide representation vectors: bound a Python batch by bytes, not only by rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.ui.enabled": "false",
+    # No call-site record per Column call: it doubles the time to build long expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -66,5 +68,15 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """``df`` cut by ``key`` when it comes in fewer pieces than there are cores.
+
+    For costly row-local work on a table of few large row groups.  A table that
+    already has enough pieces, as any large one has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
