@@ -6,14 +6,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
-TOKEN = "[^ \\t\\n\\r\\f]+"
+SPACE = "[ \\t\\n\\r\\f]+"
 NUMBER = "[0-9]+([.][0-9]+)?"
 PERCENT = "[0-9]%"
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of the whole text."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return F.array_remove(F.split(F.lower(text), SPACE), "")
 
 
 def truncate(seq: Column, length: int | None) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from polyview.functions.hashing import hex_cut, seeded_hash
 
@@ -84,31 +84,38 @@ def seeded_shuffle(df: DataFrame, key: Sequence[str], seed: int | str) -> DataFr
     return hashed.orderBy("shuffle_key", *key)
 
 
+def exact_cut(df: DataFrame, key: Sequence[str], test_size: float, seed: int | str,
+              digits: int = PREFIX_DIGITS) -> Row | None:
+    """Hash and key of the last of the first ``ceil(n * test_size)`` rows in seeded order.
+
+    Bucket counts tell in which bucket that row lies, and only that bucket is
+    ranked.  One row comes to the driver; ``None`` when no row is wanted.
+    """
+    keys = df.select(*key, seeded_hash(list(key), seed).alias("__hash"))
+    keys = keys.withColumn("__bucket", F.substring("__hash", 1, digits))
+    wanted = F.ceil(F.sum("size").over(Window.partitionBy()) * F.lit(float(test_size)))
+    sizes = _running_sizes(keys, "__bucket").withColumn("wanted", wanted)
+    edge = sizes.where((F.col("before") < F.col("wanted")) & (F.col("wanted") <= F.col("before") + F.col("size")))
+    edge = edge.select("__bucket", (F.col("wanted") - F.col("before")).alias("nth"))
+    inside = Window.partitionBy("__bucket").orderBy("__hash", *key)
+    last = keys.join(F.broadcast(edge), "__bucket").withColumn("__rank", F.row_number().over(inside))
+    return last.where(F.col("__rank") == F.col("nth")).select("__hash", *key).first()
+
+
 def split_exact(df: DataFrame, key: Sequence[str], test_size: float, seed: int | str,
                 digits: int = PREFIX_DIGITS) -> DataFrame:
     """Adds ``split``: exactly ``ceil(n * test_size)`` rows are ``test``.
 
-    The rows are not shuffled.  Bucket counts tell in which bucket the last test
-    row lies, only that bucket is ranked, and every row is then compared with
-    the one hash found.  ``key`` must be unique.
+    The cut is found first, then every row is compared with it where it lies:
+    the rows themselves are never shuffled.  ``key`` must be unique.
     """
-    mark = F.struct("__hash", *key)
-    hashed = df.withColumn("__hash", seeded_hash(list(key), seed))
-    keys = hashed.select("__hash", *key).withColumn("__bucket", F.substring("__hash", 1, digits))
-    sizes = _running_sizes(keys, "__bucket").withColumn(
-        "wanted", F.ceil(F.sum("size").over(Window.partitionBy()) * F.lit(float(test_size)))
-    )
-    edge = sizes.where((F.col("before") < F.col("wanted")) & (F.col("wanted") <= F.col("before") + F.col("size")))
-    edge = edge.select("__bucket", (F.col("wanted") - F.col("before")).alias("nth"))
-    inside = Window.partitionBy("__bucket").orderBy(mark)
-    last = (
-        keys.join(F.broadcast(edge), "__bucket")
-        .withColumn("__rank", F.row_number().over(inside))
-        .where(F.col("__rank") == F.col("nth"))
-        .select(mark.alias("last"))
-    )
-    is_test = F.coalesce(mark <= last.scalar(), F.lit(False))
-    return hashed.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("__hash")
+    cut = exact_cut(df, key, test_size, seed, digits)
+    if cut is None:
+        return df.withColumn("split", F.lit("train"))
+    own = F.struct(seeded_hash(list(key), seed).alias("h"), *key)
+    types = dict(df.select(*key).dtypes)
+    last = F.struct(F.lit(cut["__hash"]).alias("h"), *[F.lit(cut[k]).cast(types[k]).alias(k) for k in key])
+    return df.withColumn("split", F.when(own <= last, "test").otherwise("train"))
 
 
 def split_hash(df: DataFrame, key: Sequence[str], test_size: float, seed: int | str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from polyview.functions.vectors import cut
+from polyview.operators.labels import expert_subset
 
 
 def catalog(spark: SparkSession, experts: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -18,9 +19,16 @@ def catalog(spark: SparkSession, experts: Mapping[str, Sequence[str]]) -> DataFr
     )
 
 
-def name_experts(df: DataFrame, experts: DataFrame) -> DataFrame:
-    """Adds dimension and name; the catalog is a literal list and is broadcast."""
-    return df.join(F.broadcast(experts), "expert")
+def name_experts(df: DataFrame, experts: Mapping[str, Sequence[str]], dimensions: Sequence[str] | None = None,
+                 ) -> DataFrame:
+    """Adds dimension and name; with ``dimensions`` only their experts are kept.
+
+    The broadcast table is made from the literal catalog, so its size is known.
+    """
+    names = catalog(df.sparkSession, experts)
+    if dimensions is not None:
+        names = expert_subset(names, dimensions)
+    return df.join(F.broadcast(names), "expert")
 
 
 def explode_views(df: DataFrame, wide: str, widths: Sequence[int], keep: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from polyview.functions import prompts
+from polyview.functions import batched, prompts
 from polyview.functions.hashing import hex_cut
 from polyview.operators import labels, ranks, sets
 from polyview.plans.base import q6, query, r6, table
@@ -439,6 +439,16 @@ def prompt_identity(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", text.alias("text"))
 
 
+def _label_batch(batch):
+    """Formats a batch the way a batched map over a corpus does."""
+    return batch.assign(text="### Input:\n" + batch["text"] + "\n\n### Response:\n")[["item_id", "text"]]
+
+
+@query("map_batches", f"SELECT item_id, {_sql_prompt(prompts.PLAIN, 'text', _EMPTY)} AS text FROM benchmark")
+def map_batches(spark, sf_dir):
+    return batched.map_batches(table(spark, sf_dir, "benchmark"), _label_batch, "item_id bigint, text string")
+
+
 @query(
     "json_props",
     """SELECT event_id, (props::JSON->>'k')::INTEGER AS k, '{"k":' || (props::JSON->>'k') || '}' AS encoded FROM events""",

@@ -290,7 +290,7 @@ def expert_usage(spark, sf_dir):
         r6(F.avg("x.g")).alias("mean_gate"),
         r6(F.avg(V.entropy(F.col("x.lp")))).alias("mean_entropy"),
     )
-    named = views.name_experts(picked, views.catalog(spark, CATALOG))
+    named = views.name_experts(picked, CATALOG)
     return named.select("expert", "dimension", "name", "picked", "mean_gate", "mean_entropy")
 
 
@@ -383,7 +383,7 @@ def rounded(scores, *keys):
 def expert_leaderboard(spark, sf_dir):
     rows = expert_rows(decided(spark, sf_dir, test_only=True)).select("y", "expert", V.argmax(F.col("lp")).alias("pred"))
     scores = metrics.scores(rows, "y", "pred", LABELS, ["expert"], per_class=False)
-    return rounded(views.name_experts(scores, views.catalog(spark, CATALOG)), "expert", "name")
+    return rounded(views.name_experts(scores, CATALOG), "expert", "name")
 
 
 def _ablated_sql() -> str:

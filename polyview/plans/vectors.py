@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from polyview.functions import vectors as V
 from polyview.operators import experts, labels, views
+from polyview.operators.ranks import split_hash
 from polyview.plans.base import q6, query, r6, table
 from polyview.session import scratch_path
 from polyview.sources import views as stored_views
@@ -79,8 +80,6 @@ def view_widths(spark, sf_dir):
     FROM long WHERE expert IN (2, 5) GROUP BY ALL""",
 )
 def views_roundtrip(spark, sf_dir):
-    from polyview.operators.ranks import split_hash
-
     rows = split_hash(long_views(spark, sf_dir), ["vec_id"], 0.2, 42).select(
         F.col("vec_id").alias("row_id"),
         F.col("vec").cast("array<float>").alias("vec"),
@@ -128,7 +127,7 @@ def features_labels(spark, sf_dir):
     FROM long WHERE pos = 0""",
 )
 def expert_lookup(spark, sf_dir):
-    named = views.name_experts(long_views(spark, sf_dir), views.catalog(spark, CATALOG))
+    named = views.name_experts(long_views(spark, sf_dir), CATALOG)
     return named.select("vec_id", "expert", "dimension", "name", r6(F.col("vec")[0]).alias("first"))
 
 
@@ -139,8 +138,7 @@ def expert_lookup(spark, sf_dir):
 )
 def expert_subset(spark, sf_dir):
     kept = labels.ablation_dimensions("woNumerical", list(CATALOG))
-    chosen = labels.expert_subset(views.catalog(spark, CATALOG), kept)
-    return views.name_experts(long_views(spark, sf_dir), chosen).select("vec_id", "expert", "dimension")
+    return views.name_experts(long_views(spark, sf_dir), CATALOG, kept).select("vec_id", "expert", "dimension")
 
 
 # ---------------------------------------------------------------- vector arithmetic

@@ -69,13 +69,13 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
-    """``df`` cut by ``key`` when it comes in fewer pieces than there are cores.
+    """``df`` cut by ``key`` when it comes in far fewer pieces than there are cores.
 
-    For costly row-local work on a table of few large row groups.  A table that
-    already has enough pieces, as any large one has, is left as it is.
+    For costly row-local work on a table of few large row groups.  A table with
+    enough pieces, as any large one has, is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def table_path(sf_dir: str, name: str) -> str:

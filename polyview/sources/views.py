@@ -12,7 +12,11 @@ LAYOUT = ("dataset", "expert", "split")
 
 
 def write_views(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.select(*[f.name for f in VIEW.fields]).write.mode(mode).partitionBy(*LAYOUT).parquet(path)
+    """Rows are first rebalanced by folder: without it every task would write a
+    small file into every folder.  AQE splits large folders over several tasks.
+    """
+    rows = df.select(*[f.name for f in VIEW.fields]).hint("rebalance", *[F.col(c) for c in LAYOUT])
+    rows.write.mode(mode).partitionBy(*LAYOUT).parquet(path)
 
 
 def read_views(spark: SparkSession, path: str, dataset: str | None = None, split: str | None = None,
