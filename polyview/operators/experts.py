@@ -2,7 +2,7 @@
 
 Dense scoring is the one step that runs in Python: an Arrow batch goes through
 a matrix product, which is many times faster than array lambdas.  All that
-follows it (log-softmax, entropy, gate, fusion) is Column expressions.
+follows it (gate, fusion, losses, metrics) is Column expressions.
 """
 
 from __future__ import annotations
@@ -42,26 +42,42 @@ class CentroidModel:
 
     def scores(self, wide: Column) -> Column:
         """Expert-major scores of a row: ARRAY<DOUBLE> of experts * classes."""
+        return self._apply(wide, lambda z: z)
+
+    def judged(self, wide: Column) -> Column:
+        """Entropy and log-probabilities, expert-major: experts * (1 + classes) numbers."""
+        return self._apply(wide, _judge)
+
+    def _apply(self, wide: Column, finish: Callable[[np.ndarray], np.ndarray]) -> Column:
         widths, centers, sharpness = self.widths, self.centers, self.sharpness
-        total, cells = sum(widths), len(widths) * self.n_classes
-        edges = np.cumsum((0, *widths))
+        total, edges = sum(widths), np.cumsum((0, *widths))
+        norms = [(centers[:, a:b] ** 2).sum(1) for a, b in zip(edges, edges[1:])]
 
         @F.arrow_udf(T.ArrayType(T.DoubleType()))
-        def score(batch: pa.Array) -> pa.Array:
+        def run(batch: pa.Array) -> pa.Array:
             flat = batch.flatten().to_numpy(zero_copy_only=False)
             if batch.null_count or flat.size != len(batch) * total:
                 raise ValueError(f"every vector must hold {total} numbers")
             rows = flat.reshape(len(batch), total)
-            out = np.empty((len(batch), len(widths), centers.shape[0]))
-            for e in range(len(widths)):
-                x = rows[:, edges[e]:edges[e + 1]].astype(np.float64)
-                c = centers[:, edges[e]:edges[e + 1]]
-                square = (x * x).sum(1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(1)[None, :]
-                out[:, e, :] = -sharpness * square
+            z = np.empty((len(batch), len(widths), centers.shape[0]))
+            for e, (a, b) in enumerate(zip(edges, edges[1:])):
+                x = rows[:, a:b].astype(np.float64)
+                square = (x * x).sum(1)[:, None] - 2.0 * (x @ centers[:, a:b].T) + norms[e][None, :]
+                z[:, e, :] = -sharpness * square
+            out = finish(z)
+            cells = out.shape[1] * out.shape[2]
             ends = np.arange(0, (len(batch) + 1) * cells, cells, dtype=np.int32)
             return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
 
-        return score(wide)
+        return run(wide)
+
+
+def _judge(z: np.ndarray) -> np.ndarray:
+    """Entropy, then log-probabilities, of the scores in the last axis."""
+    shifted = z - z.max(-1, keepdims=True)
+    lp = shifted - np.log(np.exp(shifted).sum(-1, keepdims=True))
+    h = -(np.exp(lp) * np.where(np.isneginf(lp), 0.0, lp)).sum(-1, keepdims=True)
+    return np.concatenate((h, lp), -1)
 
 
 def fit_centroids(train: DataFrame, vec: str, label: str, widths: Sequence[int], n_classes: int,
@@ -109,11 +125,20 @@ def decisions(scored: Column) -> Column:
 
 
 def with_decisions(df: DataFrame, model: CentroidModel, wide: str, name: str = "decisions") -> DataFrame:
-    """Adds the decisions of all experts on a wide vector: one Arrow pass, no shuffle."""
-    scored = df.withColumn("__flat", model.scores(F.col(wide)))
-    return scored.withColumn(
-        name, decisions(expert_scores(F.col("__flat"), len(model.widths), model.n_classes))
-    ).drop("__flat")
+    """Adds the decisions of all experts on a wide vector: one Arrow pass, no shuffle.
+
+    The experts return entropy and log-probabilities along with their scores;
+    the rest of the row's way is Column expressions.
+    """
+    n_classes, size = model.n_classes, model.n_classes + 1
+    flat = F.col("__flat")
+    decided = F.transform(
+        F.sequence(F.lit(0), F.lit(len(model.widths) - 1)),
+        lambda e: F.struct(
+            F.get(flat, e * size).alias("h"), e.alias("expert"), F.slice(flat, e * size + 2, n_classes).alias("lp")
+        ),
+    )
+    return df.withColumn("__flat", model.judged(F.col(wide))).withColumn(name, decided).drop("__flat")
 
 
 def gather_decisions(rows: DataFrame, keys: Sequence[str], z: str = "z") -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from polyview.functions.vectors import add, affine, array_sum, dot, layer_norm, let, literal_vector, log_softmax, softmax
+from polyview.functions.vectors import add, affine, dot, layer_norm, let, literal_vector, log_softmax
 
 
 def top_by_entropy(decided: Column, k: int) -> Column:
@@ -34,45 +34,50 @@ def top_by_score(decided: Column, w_g: Sequence[float], k: int) -> Column:
     return F.slice(F.sort_array(_scored(decided, lambda d: dot(d["lp"], weights))), 1, k)
 
 
-def _weigh(kept: Column, logits: Column) -> Column:
-    """Softmax over the kept experts' logits, zipped back onto them."""
+def _normalised(kept: Column) -> Column:
+    """``expert, lp, e`` to ``expert, lp, g`` with ``g`` the share of ``e``."""
     return let(
-        softmax(logits),
-        lambda g: F.zip_with(
-            kept, g, lambda x, w: F.struct(x["expert"].alias("expert"), x["lp"].alias("lp"), w.alias("g"))
+        F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + x["e"]),
+        lambda total: F.transform(
+            kept, lambda x: F.struct(x["expert"], x["lp"], (x["e"] / total).alias("g"))
         ),
     )
 
 
 def score_gate(decided: Column, w_g: Sequence[float], k: int) -> Column:
-    return let(
-        top_by_score(decided, w_g, k),
-        lambda kept: _weigh(kept, F.transform(kept, lambda x: -x["neg"])),
-    )
+    """Softmax over the ``k`` highest scores; the first kept one is the largest."""
+    def raised(kept: Column) -> Column:
+        return let(
+            F.get(kept, F.lit(0))["neg"],
+            lambda low: F.transform(
+                kept, lambda x: F.struct(x["expert"], x["lp"], F.exp(low - x["neg"]).alias("e"))
+            ),
+        )
+
+    return let(let(top_by_score(decided, w_g, k), raised), _normalised)
 
 
 def entropy_gate(decided: Column, k: int, double: bool = True) -> Column:
     """Softmax of the negative entropies, the ``k`` largest kept, softmax again.
 
-    ``double=False`` normalises the kept first-softmax weights instead.
+    Entropies lie in [0, ln classes] and first weights in [0, 1], so no shift is
+    needed before ``exp``.  ``double=False`` normalises the kept first weights
+    instead.
     """
-    def weights(ranked: Column) -> Column:
-        return softmax(F.transform(ranked, lambda d: -d["h"]))
+    def raised(ranked: Column, total: Column) -> Column:
+        def weight(d: Column) -> Column:
+            once = F.exp(-d["h"]) / total
+            return F.exp(once) if double else once
 
-    def once(kept: Column, w: Column) -> Column:
-        return let(
-            array_sum(w),
-            lambda total: F.zip_with(
-                kept, w, lambda x, v: F.struct(x["expert"].alias("expert"), x["lp"].alias("lp"), (v / total).alias("g"))
-            ),
+        return F.transform(
+            F.slice(ranked, 1, k), lambda d: F.struct(d["expert"], d["lp"], weight(d).alias("e"))
         )
 
-    finish = _weigh if double else once
     return let(
         F.sort_array(decided),
         lambda ranked: let(
-            F.slice(weights(ranked), 1, k),
-            lambda w: let(F.slice(ranked, 1, k), lambda kept: finish(kept, w)),
+            F.aggregate(ranked, F.lit(0.0), lambda acc, d: acc + F.exp(-d["h"])),
+            lambda total: let(raised(ranked, total), _normalised),
         ),
     )
 

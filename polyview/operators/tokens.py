@@ -48,7 +48,7 @@ def skew_safe_join(facts: DataFrame, table: DataFrame, key: str, counts: DataFra
     """Left join of ``facts`` with a table of unique keys, whatever the skew of ``facts``.
 
     A key is hot when it holds more than 1/``max_hot`` of all facts, so fewer
-    than ``max_hot`` keys can be hot: that bounds both broadcasts, and no other
+    than ``max_hot`` keys can be hot: that bounds all broadcasts, and no other
     key is frequent enough to skew the shuffle.  ``counts`` (``key, n``) saves a
     pass where the frequencies are known.  Keys of ``facts`` must not be NULL.
     """
@@ -57,7 +57,7 @@ def skew_safe_join(facts: DataFrame, table: DataFrame, key: str, counts: DataFra
     total = counts.agg(F.sum("n")).scalar()
     hot = counts.select(key, "n").withColumn("__total", total).where(F.col("n") * max_hot > F.col("__total")).select(key)
     known = table.join(F.broadcast(hot), key, "left_semi")
-    frequent = facts.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(known), key, "left")
+    frequent = facts.join(F.broadcast(hot.join(F.broadcast(known), key, "left")), key)
     rest = facts.join(F.broadcast(hot), key, "left_anti").join(table, key, "left")
     return frequent.unionByName(rest)
 

@@ -413,14 +413,18 @@ def ablation_sweep(spark, sf_dir):
     """All settings in one pass: each row is decided once and gated once per setting."""
     dimension_of = [dim for dim, names in CATALOG.items() for _ in names]
 
-    def predict(mode):
+    def setting(mode):
         kept = [e for e, dim in enumerate(dimension_of) if dim in ablation_dimensions(mode, list(CATALOG))]
-        subset = F.filter("decisions", lambda d: d["expert"].isin(*kept))
+        return F.struct(F.lit(mode).alias("ablation"), F.array(*map(F.lit, kept)).alias("kept"))
+
+    def predict(s):
+        subset = F.filter("decisions", lambda d: F.array_contains(s["kept"], d["expert"]))
         pred = V.argmax(routing.fuse(routing.entropy_gate(subset, K), N_CLASSES))
-        return F.struct(F.lit(mode).alias("ablation"), pred.alias("pred"))
+        return F.struct(s["ablation"].alias("ablation"), pred.alias("pred"))
 
+    settings = F.array(*[setting(mode) for mode in ABLATIONS])
     rows = decided(spark, sf_dir, test_only=True)
-    preds = rows.select("y", F.explode(F.array(*[predict(mode) for mode in ABLATIONS])).alias("x")).select("y", "x.*")
+    preds = rows.select("y", F.explode(F.transform(settings, predict)).alias("x")).select("y", "x.*")
     return rounded(metrics.scores(preds, "y", "pred", LABELS, ["ablation"], per_class=False), "ablation")
 
 

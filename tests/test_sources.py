@@ -96,3 +96,18 @@ def test_stored_and_spread(spark):
     assert spread(df, "id") is df
     back = stored(df)
     assert back.count() == 100 and scratch_root(spark) in back.inputFiles()[0]
+
+
+def test_worker_functions_travel_without_the_package(tmp_path):
+    """Executors do not have this package on their path."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from polyview.operators.experts import _judge
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(_judge))
+    code = "import pickle, numpy; print(pickle.load(open('f.pkl', 'rb'))(numpy.zeros((1, 1, 2))).shape)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert out.stdout.strip() == "(1, 1, 3)", out.stderr
