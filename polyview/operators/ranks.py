@@ -14,6 +14,13 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from polyview.functions.hashing import hex_cut, seeded_hash
 
 PREFIX_DIGITS = 4  # 16**4 buckets: the bound of every table broadcast here
+MAX_DIGITS = 5
+
+
+def _prefix(digits: int) -> Column:
+    if not 1 <= digits <= MAX_DIGITS:
+        raise ValueError(f"digits must lie between 1 and {MAX_DIGITS}, got {digits}")
+    return F.substring("__hash", 1, digits)
 
 
 def _running_sizes(df: DataFrame, bucket: str) -> DataFrame:
@@ -46,7 +53,7 @@ def seeded_rank(df: DataFrame, key: Sequence[str], seed: int | str, name: str =
     """Position of each row in the seeded order of its unique ``key``."""
     keyed = df.withColumn("__hash", seeded_hash(list(key), seed))
     order = [F.col("__hash"), *[F.col(k) for k in key]]
-    return global_rank(keyed, F.substring("__hash", 1, digits), order, name).drop("__hash")
+    return global_rank(keyed, _prefix(digits), order, name).drop("__hash")
 
 
 def number_copies(df: DataFrame, seed: int | str, name: str = "row_id", digits: int = PREFIX_DIGITS,
@@ -61,7 +68,7 @@ def number_copies(df: DataFrame, seed: int | str, name: str = "row_id", digits:
     columns = df.columns
     text = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
-    keyed = counted.withColumn("__hash", seeded_hash(text, seed)).withColumn("__bucket", F.substring("__hash", 1, digits))
+    keyed = counted.withColumn("__hash", seeded_hash(text, seed)).withColumn("__bucket", _prefix(digits))
     totals = keyed.groupBy("__bucket").agg(F.sum("__n").alias("__size"))
     upto = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = totals.select("__bucket", (F.sum("__size").over(upto) - F.col("__size")).alias("__before"))
@@ -92,7 +99,7 @@ def exact_cut(df: DataFrame, key: Sequence[str], test_size: float, seed: int | s
     ranked.  One row comes to the driver; ``None`` when no row is wanted.
     """
     keys = df.select(*key, seeded_hash(list(key), seed).alias("__hash"))
-    keys = keys.withColumn("__bucket", F.substring("__hash", 1, digits))
+    keys = keys.withColumn("__bucket", _prefix(digits))
     wanted = F.ceil(F.sum("size").over(Window.partitionBy()) * F.lit(float(test_size)))
     sizes = _running_sizes(keys, "__bucket").withColumn("wanted", wanted)
     edge = sizes.where((F.col("before") < F.col("wanted")) & (F.col("wanted") <= F.col("before") + F.col("size")))

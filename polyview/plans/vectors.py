@@ -13,6 +13,7 @@ from polyview.session import scratch_path
 from polyview.sources import views as stored_views
 
 WIDTHS = [8] * 8
+BUCKETS = 8
 SCALE = 10.0  # spreads the unit vectors, so that softmax rows differ
 CATALOG = {
     "Semantic": ["view_0", "view_1"],
@@ -75,7 +76,7 @@ def view_widths(spark, sf_dir):
 @query(
     "views_roundtrip",
     f"""WITH {LONG_SQL}
-    SELECT 'embeddings' AS dataset, CASE WHEN md5('42:' || vec_id) < '33333333' THEN 'test' ELSE 'train' END AS split,
+    SELECT 'embeddings' AS dataset, CASE WHEN substr(md5('42:' || vec_id), 1, 8) < '33333333' THEN 'test' ELSE 'train' END AS split,
            'view_' || expert AS expert, vec_id AS row_id, count(*)::INTEGER AS width, {q6('sum(v)')} AS total
     FROM long WHERE expert IN (2, 5) GROUP BY ALL""",
 )
@@ -101,6 +102,28 @@ def views_concat(spark, sf_dir):
     return spread(joined, "wide", "v", "vec_id")
 
 
+@query("views_concat_bucketed", f"WITH {LONG_SQL} SELECT vec_id, expert * 8 + pos AS pos, {q6('v')} AS v FROM long")
+def views_concat_bucketed(spark, sf_dir):
+    """The same over a table bucketed by row: the grouping reads it without a shuffle."""
+    path = scratch_path(spark, "bucketed")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    rows = stored_views.save_bucketed(long_views(spark, sf_dir), name, path, BUCKETS, "vec_id")
+    return spread(views.concat_views(rows, len(WIDTHS), ["vec_id"]), "wide", "v", "vec_id")
+
+
+@query(
+    "shape_summary",
+    f"""WITH {LONG_SQL}, sizes AS (SELECT vec_id, expert, count(*)::INTEGER AS width FROM long GROUP BY ALL)
+    SELECT 'embeddings' AS dataset, expert, CASE WHEN substr(md5('42:' || vec_id), 1, 8) < '33333333' THEN 'test' ELSE 'train' END AS split,
+           count(*) AS n_rows, min(width) AS min_width, max(width) AS max_width,
+           CASE WHEN min(width) = max(width) THEN max(width) END AS width
+    FROM sizes GROUP BY ALL""",
+)
+def shape_summary(spark, sf_dir):
+    rows = split_hash(long_views(spark, sf_dir), ["vec_id"], 0.2, 42).withColumn("dataset", F.lit("embeddings"))
+    return views.view_widths(rows, ["dataset", "expert", "split"])
+
+
 @query("views_split", f"WITH {LONG_SQL} SELECT vec_id, expert, pos, {q6('v')} AS v FROM long")
 def views_split(spark, sf_dir):
     widths = views.view_widths(long_views(spark, sf_dir)).select("expert", "width")

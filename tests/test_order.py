@@ -25,6 +25,11 @@ def test_exact_split_does_not_shuffle_rows(spark):
     assert "Exchange" not in plan(ranks.split_exact(df, ["k"], 0.2, 42))
 
 
+def test_bucket_count_is_bounded(spark):
+    with pytest.raises(ValueError, match="digits"):
+        ranks.seeded_rank(spark.range(3).toDF("k"), ["k"], 1, digits=9)
+
+
 def test_empty_split(spark):
     assert ranks.split_exact(spark.range(0).toDF("k"), ["k"], 0.2, 42).count() == 0
 

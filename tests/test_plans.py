@@ -48,6 +48,12 @@ def test_no_cross_joins(plans, name):
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
 
 
+def test_bucketed_views_are_grouped_without_a_shuffle(plans):
+    text = plans("views_concat_bucketed")
+    assert "Exchange" not in text and "Bucketed: true" in text
+    assert "Exchange" in plans("views_concat")
+
+
 def test_catalog_is_broadcast(plans):
     assert "BroadcastHashJoin" in plans("expert_lookup")
 
