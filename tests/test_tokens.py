@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
@@ -48,8 +49,8 @@ def test_encode_round_trip(docs):
     counts = tokens.token_counts(docs, "words")
     vocab = tokens.vocabulary(counts)
     back = {r["token_id"]: r["token"] for r in vocab.collect()}
-    for given in (None, counts):
-        rows = tokens.encode(docs, "doc_id", "words", vocab, given).orderBy("doc_id").collect()
+    for given, small in ((None, 0), (counts, 0), (None, 1000)):
+        rows = tokens.encode(docs, "doc_id", "words", vocab, given, small).orderBy("doc_id").collect()
         assert [[back[i] for i in r["input_ids"]] for r in rows] == [words(t) for t in TEXTS]
 
 
@@ -71,16 +72,32 @@ def test_skew_safe_join_keeps_every_row(spark, max_hot):
         .alias("key"),
     )
     table = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 97, 2)], "key string, v int")
-    got = tokens.skew_safe_join(facts, table, "key", max_hot=max_hot).select("id", "key", "v").collect()
+    got = tokens.skew_safe_join(facts, table, "key", max_hot=max_hot, max_small=0).select("id", "key", "v").collect()
     want = facts.join(table, "key", "left").select("id", "key", "v").collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 3000
 
 
 def test_hot_keys_are_bounded_and_joins_are_keyed(docs):
     table = tokens.token_counts(docs, "words")
-    joined = tokens.skew_safe_join(tokens.explode_tokens(docs, "doc_id", "words"), table, "token")
-    text = plan(joined)
-    assert "CartesianProduct" not in text and "NestedLoop" not in text
+    facts = tokens.explode_tokens(docs, "doc_id", "words")
+    for small in (0, 1000):
+        text = plan(tokens.skew_safe_join(facts, table, "token", max_small=small))
+        assert "CartesianProduct" not in text and "NestedLoop" not in text
+        assert ("Union" in text) == (small == 0)
+
+
+def test_only_a_small_table_is_broadcast_whole(spark, monkeypatch):
+    table = spark.createDataFrame([("a" * 40, 1), ("b" * 40, 2)], "key string, v int")
+    assert tokens._is_small(table, "key", 2) and not tokens._is_small(table, "key", 1)
+    monkeypatch.setattr(tokens, "MAX_SMALL_BYTES", 79)
+    assert not tokens._is_small(table, "key", 2)
+    assert tokens._is_small(table.where("v > 9"), "key", 0)
+
+
+def test_too_many_token_ids_are_refused(spark, docs):
+    vocab = spark.createDataFrame([("the", 2**32)], "token string, token_id long")
+    with pytest.raises(PySparkException, match="32 bits"):
+        tokens.encode(docs, "doc_id", "words", vocab).collect()
 
 
 def test_log_odds_by_hand(spark, docs):
@@ -96,14 +113,14 @@ def test_log_odds_by_hand(spark, docs):
         return math.log((inside[c][w] + 1) / (total[c] + size)) - math.log((inside[o][w] + 1) / (total[o] + size))
 
     assert all(table[w] == pytest.approx([odds(w, 0), odds(w, 1)]) for w in table)
-    means = {
-        r["doc_id"]: (r["s_0"], r["s_1"])
-        for r in tokens.mean_log_odds(docs, "doc_id", "words", tokens.log_odds(train, "words", "y", 2), 2).collect()
-    }
-    assert means.keys() == set(range(6)) and means[2] == (0.0, 0.0)
-    for i in (0, 1, 3, 4, 5):
-        ws = words(TEXTS[i])
-        assert means[i][0] == pytest.approx(sum(odds(w, 0) for w in ws) / len(ws))
+    fitted = tokens.log_odds(train, "words", "y", 2)
+    for small in (0, 1000):
+        rows = tokens.mean_log_odds(docs, "doc_id", "words", fitted, 2, max_small=small).collect()
+        means = {r["doc_id"]: (r["s_0"], r["s_1"]) for r in rows}
+        assert means.keys() == set(range(6)) and means[2] == (0.0, 0.0)
+        for i in (0, 1, 3, 4, 5):
+            ws = words(TEXTS[i])
+            assert means[i][0] == pytest.approx(sum(odds(w, 0) for w in ws) / len(ws))
 
 
 def test_hashed_tf_idf_by_hand(docs):
