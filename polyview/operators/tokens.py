@@ -40,10 +40,11 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     are rare.
     """
     steps = F.floor(F.log2(F.col("n").cast("double")) * 64)
-    rare = F.when(F.col("n") <= 64, F.substring(F.md5("token"), 1, 3)).otherwise("")
+    rare = F.when(F.col("n") <= 64, F.substring("__hash", 1, 3)).otherwise("")
     bucket = F.concat(F.lpad((F.lit(9999) - steps).cast("string"), 4, "0"), rare)
-    order = [F.col("n").desc(), F.md5("token"), F.col("token")]
-    return global_rank(counts, bucket, order, "token_id").withColumn("token_id", F.col("token_id") + FIRST_ID)
+    order = [F.col("n").desc(), F.col("__hash"), F.col("token")]
+    ranked = global_rank(counts.withColumn("__hash", F.md5("token")), bucket, order, "token_id")
+    return ranked.withColumn("token_id", F.col("token_id") + FIRST_ID).drop("__hash")
 
 
 def _is_small(table: DataFrame, key: str, max_rows: int) -> bool:

@@ -10,6 +10,15 @@ from polyview.functions.vectors import cut
 from polyview.operators.labels import expert_subset
 
 
+def numbered_catalog(counts: Mapping[str, int], prefix: str = "expert_") -> dict[str, list[str]]:
+    """A catalog whose experts are named by their index."""
+    names, start = {}, 0
+    for dimension, n in counts.items():
+        names[dimension] = [f"{prefix}{i}" for i in range(start, start + n)]
+        start += n
+    return names
+
+
 def catalog(spark: SparkSession, experts: Mapping[str, Sequence[str]]) -> DataFrame:
     """``dimension, expert, name`` with the experts numbered in the given order."""
     rows = [(dim, name) for dim, names in experts.items() for name in names]

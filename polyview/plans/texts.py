@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from polyview.functions import text as X, vectors as V
 from polyview.operators import experts, labels, metrics, ranks, routing, tokens, views
@@ -222,6 +222,72 @@ def four_views(spark, sf_dir) -> DataFrame:
     )
 
 
+TEXT_WIDTHS = [2, 2, len(LEXICON), N_CLASSES]
+TEXT_SHARPNESS, TEXT_K = 20.0, 2
+_N = "greatest(len(words), 1)"
+TEXT_FEATURES_SQL = [
+    f"length(array_to_string(words, '')) / {_N} / 10",
+    f"len(list_distinct(words)) / {_N}",
+    "CASE WHEN length(text) > 0 THEN len(regexp_extract_all(text, '[0-9]')) / length(text) ELSE 0 END",
+    f"len(regexp_extract_all(text, '{X.NUMBER}')) / {_N}",
+    *[f"len(list_filter(words, lambda w: w IN {tuple(t)})) / {_N}" for t in LEXICON.values()],
+    *[f"s_{c}" for c in range(N_CLASSES)],
+]
+_EXPERT_SQL = "CASE WHEN i < 2 THEN 0 WHEN i < 4 THEN 1 WHEN i < 8 THEN 2 ELSE 3 END"
+ROUTED_TEXT_SQL = f"""WITH {ODDS_SQL}, words AS (
+  SELECT doc_id, input AS text, y, r > ceil(total * 0.2::DOUBLE) AS train,
+         regexp_extract_all(lower(input), '[^ \\t\\n\\r\\f]+') AS words FROM numbered
+), occurrences AS (SELECT doc_id, unnest(words) AS token FROM words
+), means AS (
+  SELECT doc_id, {', '.join(f'avg(coalesce(w_{c}, 0)) AS s_{c}' for c in range(3))}
+  FROM occurrences LEFT JOIN odds USING (token) GROUP BY 1
+), wide AS (
+  SELECT doc_id, y, train, [{', '.join(f'({f})::DOUBLE' for f in TEXT_FEATURES_SQL)}] AS vec FROM words JOIN means USING (doc_id)
+), dims AS (
+  SELECT doc_id, y, train, i, {_EXPERT_SQL} AS expert, vec[i + 1] AS v FROM wide, range({sum(TEXT_WIDTHS)}) AS t(i)
+), centers AS (SELECT y AS class, i, avg(v) AS c FROM dims WHERE train GROUP BY ALL
+), z AS (
+  SELECT d.doc_id, d.y, d.expert, k.class, -{TEXT_SHARPNESS}::DOUBLE * sum((d.v - k.c) * (d.v - k.c)) AS z
+  FROM dims d JOIN centers k ON d.i = k.i WHERE NOT d.train GROUP BY ALL
+), lp AS (
+  SELECT *, z - ln(sum(exp(z)) OVER (PARTITION BY doc_id, expert)) AS lp FROM z
+), h AS (SELECT doc_id, expert, -sum(exp(lp) * lp) AS h FROM lp GROUP BY ALL
+), once AS (
+  SELECT *, exp(-h) / sum(exp(-h)) OVER (PARTITION BY doc_id) AS w,
+         row_number() OVER (PARTITION BY doc_id ORDER BY h, expert) AS place FROM h
+), gate AS (
+  SELECT doc_id, expert, exp(w) / sum(exp(w)) OVER (PARTITION BY doc_id) AS g FROM once WHERE place <= {TEXT_K}
+), fused AS (
+  SELECT l.doc_id, l.y, l.class, sum(g.g * l.lp) AS f FROM gate g JOIN lp l ON g.doc_id = l.doc_id AND g.expert = l.expert GROUP BY ALL
+) SELECT doc_id, y, class AS pred, {q6('f')} AS score FROM fused
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY f DESC, class) = 1"""
+
+
+def text_features(text: Column, words: Column) -> list[Column]:
+    """Semantic, numeric and event features of a text as shares, in view order."""
+    n = F.greatest(F.size(words), F.lit(1))
+    stats, numeric, hits = X.token_stats(words), X.numeric_features(text), X.lexicon_hits(words, LEXICON)
+    shares = [stats["mean_length"] / 10, stats["n_distinct"] / n, numeric["digit_share"], numeric["n_numbers"] / n]
+    return [f.cast("double") for f in (*shares, *[hit / n for hit in hits.values()])]
+
+
+@query("routed_text", ROUTED_TEXT_SQL)
+def routed_text(spark, sf_dir):
+    """From texts to predictions: four views, one nearest-center expert each, entropy gate, fusion."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    rows = stored(labelled(spark, sf_dir, docs.withColumn("words", X.tokens(F.col("text")))), "labelled")
+    means = tokens.mean_log_odds(rows, "doc_id", "words", stored(fitted_odds(rows), "log-odds"), N_CLASSES)
+    features = text_features(F.col("text"), F.col("words"))
+    rows = rows.select("doc_id", "split", "y", F.array(*features).alias("own")).join(means, "doc_id")
+    sentiments = views.feature_vector([f"s_{c}" for c in range(N_CLASSES)])
+    rows = stored(rows.select("doc_id", "split", "y", F.concat("own", sentiments).alias("wide")), "views")
+    train, test = (rows.where(F.col("split") == name) for name in ("train", "test"))
+    model = experts.fit_centroids(train, "wide", "y", TEXT_WIDTHS, N_CLASSES, TEXT_SHARPNESS)
+    gate = routing.entropy_gate(F.col("decisions"), TEXT_K)
+    fused = experts.with_decisions(test, model, "wide").withColumn("fused", routing.fuse(gate, N_CLASSES))
+    return fused.select("doc_id", "y", V.argmax(F.col("fused")).alias("pred"), r6(F.array_max("fused")).alias("score"))
+
+
 def learned(spark, sf_dir) -> DataFrame:
     """Decisions of one logistic expert per view, for all labelled documents."""
     rows = stored(four_views(spark, sf_dir), "views")

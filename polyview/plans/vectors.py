@@ -9,18 +9,14 @@ from polyview.functions import vectors as V
 from polyview.operators import experts, labels, views
 from polyview.operators.ranks import split_hash
 from polyview.plans.base import q6, query, r6, table
+from polyview.schema import DIMENSIONS
 from polyview.session import scratch_path
 from polyview.sources import views as stored_views
 
 WIDTHS = [8] * 8
 BUCKETS = 8
 SCALE = 10.0  # spreads the unit vectors, so that softmax rows differ
-CATALOG = {
-    "Semantic": ["view_0", "view_1"],
-    "Math": ["view_2", "view_3"],
-    "Event": ["view_4", "view_5"],
-    "Sentiment": ["view_6", "view_7"],
-}
+CATALOG = views.numbered_catalog({dimension: 2 for dimension in DIMENSIONS}, "view_")
 DIMENSION_SQL = "list_extract(['Semantic', 'Math', 'Event', 'Sentiment'], (expert // 2 + 1)::BIGINT)"
 WEIGHT = [[((3 * k + 2 * d) % 7 - 3) / 10 for d in range(8)] for k in range(3)]
 BIAS = [(k - 1) / 4 for k in range(3)]

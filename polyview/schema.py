@@ -34,32 +34,8 @@ ABLATIONS = {
     "woSentiment": "Sentiment",
 }
 
-# The default expert catalog, by dimension and in index order.
-EXPERTS = {
-    "Semantic": [
-        "finbert_TRC2",
-        "llama-3-8b-Instruct-bnb-4bit",
-        "Qwen2.5-7B-Instruct-bnb-4bit",
-        "gemma-2-9b-it-bnb-4bit",
-        "mistral-7b-instruct-v0.3-bnb-4bit",
-        "Phi-3.5-mini-instruct-bnb-4bit",
-    ],
-    "Math": [
-        "Qwen2.5-Math-7B-Instruct-bnb-4bit",
-        "Qwen2.5-Coder-7B-Instruct-bnb-4bit",
-        "codellama-7b-bnb-4bit",
-        "codegemma-7b-it-bnb-4bit",
-        "Pretrained_Llama_on_FinanceMATH",
-    ],
-    "Event": [
-        "llama-EventPrompt",
-        "Pretrained_Llama_on_FinEventData",
-    ],
-    "Sentiment": [
-        "finbert_FPB",
-        "Pretrained_Llama_on_4SentiTrainData",
-    ],
-}
+# Experts per dimension of the default set-up, in index order.
+EXPERT_COUNTS = {"Semantic": 6, "Math": 5, "Event": 2, "Sentiment": 2}
 
 # Gate and training defaults.
 TOP_K = 6

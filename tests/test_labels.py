@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from polyview.functions import prompts
 from polyview.operators import labels
-from polyview.schema import DIMENSIONS, EXPERTS, LABEL_TO_ID, PHRASEBANK_CODES, TWEET_CODES
+from polyview.schema import DIMENSIONS, LABEL_TO_ID, PHRASEBANK_CODES, TWEET_CODES
 
 
 def test_score_bin_edges(spark):
@@ -45,7 +45,6 @@ def test_ablations():
     assert labels.ablation_dimensions("woNumerical", DIMENSIONS) == ["Semantic", "Event", "Sentiment"]
     with pytest.raises(ValueError):
         labels.ablation_dimensions("woNothing", DIMENSIONS)
-    assert [len(v) for v in EXPERTS.values()] == [6, 5, 2, 2]
 
 
 def test_prompts(spark):

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from polyview.functions import batched
 from polyview.operators import sets, views
+from polyview.schema import EXPERT_COUNTS
 from polyview.session import scratch_root, spread, stored
 from polyview.sources import jsonl, reports, registry, views as stored_views
 from tests.helpers import plan
@@ -58,6 +59,16 @@ def test_ragged_views_are_refused(spark):
     assert views.checked_widths(df.where("expert = 1")) == [1]
 
 
+def test_catalog_numbers_experts_across_dimensions(spark):
+    names = views.numbered_catalog(EXPERT_COUNTS)
+    rows = views.catalog(spark, names).orderBy("expert").collect()
+    assert [r["expert"] for r in rows] == list(range(15))
+    assert [r["dimension"] for r in rows] == ["Semantic"] * 6 + ["Math"] * 5 + ["Event"] * 2 + ["Sentiment"] * 2
+    assert rows[14]["name"] == "expert_14"
+    kept = views.name_experts(spark.range(15).select(F.col("id").cast("int").alias("expert")), names, ["Math", "Event"])
+    assert sorted(r["expert"] for r in kept.collect()) == list(range(6, 13))
+
+
 def test_squeeze_drops_unit_dimensions(spark):
     df = spark.sql("select array(array(array(1.0d, 2.0d))) v")
     assert df.select(stored_views.squeeze("v", 2)).first()[0] == [1.0, 2.0]
