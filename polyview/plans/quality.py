@@ -143,6 +143,31 @@ def report_text(spark, sf_dir):
     return spark.read.text(path)
 
 
+@query(
+    "report_full",
+    f"""WITH {REPORT_SQL}, keyed AS (SELECT 0 AS k, y, pred FROM rows), {scores_sql('keyed', 'k', n_labels=3).replace('totals', 'label_totals')},
+    class_rows AS (
+      SELECT label, precision, recall, f1, support FROM report
+      UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support)::BIGINT FROM report
+      UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                       sum(f1 * support) / sum(support), sum(support)::BIGINT FROM report
+    )
+    SELECT printf('Acc: %.5f. F1 macro: %.5f. F1 micro: %.5f. F1 weighted: %.5f.',
+                  accuracy::DOUBLE, f1_macro_seen::DOUBLE, f1_micro::DOUBLE, f1_weighted::DOUBLE) AS value FROM metric
+    UNION ALL SELECT lpad(label, 12, ' ') || '  ' || lpad(printf('%.5f', precision::DOUBLE), 9, ' ') || ' ' || lpad(printf('%.5f', recall::DOUBLE), 9, ' ')
+                     || ' ' || lpad(printf('%.5f', f1::DOUBLE), 9, ' ') || ' ' || lpad(support::VARCHAR, 9, ' ') FROM class_rows
+    UNION ALL SELECT '[' || string_agg(n::VARCHAR, ' ' ORDER BY pred) || ']' FROM cells GROUP BY truth""",
+)
+def report_full(spark, sf_dir):
+    rows = outcomes(spark, sf_dir)
+    averages = metrics.class_report_averages(metrics.class_report(rows, "y", "pred", LABELS))
+    matrix = metrics.confusion_rows(metrics.confusion(rows, "y", "pred", LABELS))
+    lines = reports.report_lines(metrics.scores(rows, "y", "pred", LABELS), averages, matrix, LABELS)
+    path = scratch_path(spark, "report")
+    reports.write_report(lines, path)
+    return spark.read.text(path)
+
+
 @query(
     "format_numbers",
     f"""WITH {REPORT_SQL} SELECT label, printf('%.5f', precision::DOUBLE) AS precision, printf('%.5f', recall::DOUBLE) AS recall,

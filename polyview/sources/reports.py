@@ -28,5 +28,32 @@ def headline(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return scores.select(*keys, F.format_string(HEADLINE, *[F.col(v) for v in values]).alias("value"))
 
 
+# One row of a classification report, and its two average rows.
+CLASS_ROW = "%12s  %9.5f %9.5f %9.5f %9d"
+AVERAGE_ROWS = ("macro avg", "weighted avg")
+
+
+def report_lines(scores: DataFrame, averages: DataFrame, matrix: DataFrame, labels: Sequence) -> DataFrame:
+    """``line, value``: headline, a row per class and average, a row per truth label of the matrix.
+
+    The inputs are metric tables: a few rows per class, whatever was measured.
+    """
+    names = [str(label) for label in labels]
+    place = F.array_position(F.array(*[F.lit(n) for n in (*names, *AVERAGE_ROWS)]), F.col("label"))
+    rows = averages.select(
+        place.cast("int").alias("line"),
+        F.format_string(CLASS_ROW, "label", "precision", "recall", "f1", "support").alias("value"),
+    )
+    truth = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("truth").cast("string"))
+    cells = F.array_join(F.col("counts").cast("array<string>"), " ")
+    grid = matrix.select(
+        (truth + len(names) + len(AVERAGE_ROWS)).cast("int").alias("line"),
+        F.concat(F.lit("["), cells, F.lit("]")).alias("value"),
+    )
+    return headline(scores).select(F.lit(0).alias("line"), "value").unionByName(rows).unionByName(grid)
+
+
 def write_report(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    lines.select("value").write.mode(mode).text(path)
+    """One text file; lines that carry a ``line`` number are put in order."""
+    ordered = lines.coalesce(1).sortWithinPartitions("line") if "line" in lines.columns else lines
+    ordered.select("value").write.mode(mode).text(path)

@@ -89,6 +89,22 @@ def test_metrics_and_report(spark, tmp_path):
     assert reports.headline(df).first()[0] == "Acc: 0.50000. F1 macro: 0.25000. F1 micro: 0.50000. F1 weighted: 0.33333."
 
 
+def test_full_report_is_one_ordered_file(spark, tmp_path):
+    from polyview.operators import metrics
+
+    rows = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "a")], "y string, p string")
+    labels = ["a", "b", "c"]
+    averages = metrics.class_report_averages(metrics.class_report(rows, "y", "p", labels))
+    matrix = metrics.confusion_rows(metrics.confusion(rows, "y", "p", labels))
+    path = str(tmp_path / "report")
+    reports.write_report(reports.report_lines(metrics.scores(rows, "y", "p", labels), averages, matrix, labels), path)
+    lines = [r["value"] for r in spark.read.text(path, wholetext=True).collect()][0].splitlines()
+    assert lines[0].startswith("Acc: 0.50000.") and len(lines) == 9
+    assert lines[1] == "           a    0.50000   0.50000   0.50000         2"
+    assert lines[4].split()[:2] == ["macro", "avg"] and lines[5].split()[:2] == ["weighted", "avg"]
+    assert lines[6:] == ["[1 1 0]", "[0 1 0]", "[1 0 0]"]
+
+
 def test_union_and_merge(spark):
     a, b = spark.range(2).toDF("x"), spark.range(1).toDF("x")
     assert sets.union_all(a, b, a).count() == 5
