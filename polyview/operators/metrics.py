@@ -21,11 +21,17 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / F.when(whole > 0, whole)).otherwise(F.lit(0.0))
 
 
-def pair_counts(df: DataFrame, truth: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
+def pair_counts(df: DataFrame, truth: str, pred: str, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """``truth, pred, n`` per key.
+
+    ``weight`` names the count of a table that is counted already, here and in
+    the metrics below: several metrics of large data then share one pass.
+    """
+    one = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     return (
-        df.select(*keys, F.col(truth).alias("truth"), F.col(pred).alias("pred"))
+        df.select(*keys, F.col(truth).alias("truth"), F.col(pred).alias("pred"), one.alias("n"))
         .groupBy(*keys, "truth", "pred")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 
@@ -34,7 +40,8 @@ def accuracy(df: DataFrame, truth: str, pred: str, keys: Sequence[str] = ()) ->
     return df.groupBy(*keys).agg(F.avg(hit).alias("accuracy"))
 
 
-def confusion(df: DataFrame, truth: str, pred: str, labels: Labels, keys: Sequence[str] = ()) -> DataFrame:
+def confusion(df: DataFrame, truth: str, pred: str, labels: Labels, keys: Sequence[str] = (),
+              weight: str | None = None) -> DataFrame:
     """One row per cell of the fixed label grid; absent cells are 0.
 
     Every counted pair also brings the whole grid as zeros, so the grid needs no
@@ -47,7 +54,7 @@ def confusion(df: DataFrame, truth: str, pred: str, labels: Labels, keys: Sequen
     ]
     seen = F.struct("truth", "pred", "n")
     return (
-        pair_counts(df, truth, pred, keys)
+        pair_counts(df, truth, pred, keys, weight)
         .where(F.col("truth").isin(*labels) & F.col("pred").isin(*labels))
         .select(*keys, F.explode(F.array(seen, *cells)).alias("c"))
         .groupBy(*keys, F.col("c.truth").alias("truth"), F.col("c.pred").alias("pred"))
@@ -62,7 +69,7 @@ def confusion_rows(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def class_totals(df: DataFrame, truth: str, pred: str, labels: Labels | None = None,
-                 keys: Sequence[str] = ()) -> DataFrame:
+                 keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Per label: rows that have it (``support``), that were given it, and both.
 
     ``labels`` fixes the list; without it the labels seen in truth or prediction
@@ -83,7 +90,7 @@ def class_totals(df: DataFrame, truth: str, pred: str, labels: Labels | None = N
     ]
     parts += [part(F.lit(label), zero, zero, zero) for label in labels or ()]
     totals = (
-        pair_counts(df, truth, pred, keys)
+        pair_counts(df, truth, pred, keys, weight)
         .select(*keys, F.explode(F.array(*parts)).alias("c"))
         .groupBy(*keys, F.col("c.label").alias("label"))
         .agg(*[F.sum(f"c.{name}").alias(name) for name in ("support", "predicted", "both")])
@@ -92,10 +99,10 @@ def class_totals(df: DataFrame, truth: str, pred: str, labels: Labels | None = N
 
 
 def class_report(df: DataFrame, truth: str, pred: str, labels: Labels | None = None,
-                 keys: Sequence[str] = ()) -> DataFrame:
+                 keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Precision, recall, F1 and support per label."""
     both, support, predicted = F.col("both"), F.col("support"), F.col("predicted")
-    return class_totals(df, truth, pred, labels, keys).select(
+    return class_totals(df, truth, pred, labels, keys, weight).select(
         *keys,
         "label",
         ratio(both, predicted).alias("precision"),
@@ -124,7 +131,7 @@ def class_report_averages(report: DataFrame, keys: Sequence[str] = ()) -> DataFr
 
 
 def scores(df: DataFrame, truth: str, pred: str, labels: Labels, keys: Sequence[str] = (),
-           per_class: bool = True) -> DataFrame:
+           per_class: bool = True, weight: str | None = None) -> DataFrame:
     """One row of metrics per key, from a single pass over the rows.
 
     ``f1_macro_seen`` averages over labels seen in truth or prediction,
@@ -132,7 +139,7 @@ def scores(df: DataFrame, truth: str, pred: str, labels: Labels, keys: Sequence[
     """
     seen = F.col("support") + F.col("predicted") > 0
     fixed = F.col("label").isin(*labels)
-    report = class_report(df, truth, pred, None, keys)
+    report = class_report(df, truth, pred, None, keys, weight)
     aggs = [
         (F.sum("both") / F.sum("support")).alias("accuracy"),
         F.avg(F.when(seen, F.col("f1"))).alias("f1_macro_seen"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from polyview.operators import metrics
 from polyview.plans.base import q6, query, r6, table
 from polyview.plans.routing import METRICS_SQL, scores_sql
-from polyview.session import scratch_path
+from polyview.session import scratch_path, stored
 from polyview.sources import reports
 
 LABELS = ["A", "N", "R"]
@@ -159,10 +159,11 @@ def report_text(spark, sf_dir):
     UNION ALL SELECT '[' || string_agg(n::VARCHAR, ' ' ORDER BY pred) || ']' FROM cells GROUP BY truth""",
 )
 def report_full(spark, sf_dir):
-    rows = outcomes(spark, sf_dir)
-    averages = metrics.class_report_averages(metrics.class_report(rows, "y", "pred", LABELS))
-    matrix = metrics.confusion_rows(metrics.confusion(rows, "y", "pred", LABELS))
-    lines = reports.report_lines(metrics.scores(rows, "y", "pred", LABELS), averages, matrix, LABELS)
+    counted = stored(metrics.pair_counts(outcomes(spark, sf_dir), "y", "pred"), "pairs")  # one pass over the lines
+    averages = metrics.class_report_averages(metrics.class_report(counted, "truth", "pred", LABELS, weight="n"))
+    matrix = metrics.confusion_rows(metrics.confusion(counted, "truth", "pred", LABELS, weight="n"))
+    scores = metrics.scores(counted, "truth", "pred", LABELS, weight="n")
+    lines = reports.report_lines(scores, averages, matrix, LABELS)
     path = scratch_path(spark, "report")
     reports.write_report(lines, path)
     return spark.read.text(path)

@@ -64,6 +64,13 @@ def test_scores_by_key_equal_scores_of_each_part(frame):
         assert all(keyed[k][c] == pytest.approx(alone[c]) for c in alone.asDict())
 
 
+def test_counted_rows_give_the_same_metrics(frame):
+    counted = metrics.pair_counts(frame, "y", "p")
+    for fn in (metrics.scores, metrics.confusion, metrics.class_report):
+        plain = sorted(map(str, fn(frame, "y", "p", LABELS).collect()))
+        assert sorted(map(str, fn(counted, "truth", "pred", LABELS, weight="n").collect())) == plain
+
+
 def test_confusion_grid_is_whole(frame, pairs):
     cells = {(r["truth"], r["pred"]): r["n"] for r in metrics.confusion(frame, "y", "p", LABELS).collect()}
     assert cells == {(t, p): sum((t, p) == x for x in pairs) for t in LABELS for p in LABELS}
