@@ -44,22 +44,16 @@ def confusion(df: DataFrame, truth: str, pred: str, labels: Labels, keys: Sequen
               weight: str | None = None) -> DataFrame:
     """One row per cell of the fixed label grid; absent cells are 0.
 
-    Every counted pair also brings the whole grid as zeros, so the grid needs no
-    join and exists for each key that has rows.
+    The grid is unrolled from the label list for every key that has rows, added
+    as zeros to the counts, and summed: no join.
     """
-    cells = [
-        F.struct(F.lit(t).alias("truth"), F.lit(p).alias("pred"), F.lit(0).cast("bigint").alias("n"))
-        for t in labels
-        for p in labels
-    ]
-    seen = F.struct("truth", "pred", "n")
-    return (
-        pair_counts(df, truth, pred, keys, weight)
-        .where(F.col("truth").isin(*labels) & F.col("pred").isin(*labels))
-        .select(*keys, F.explode(F.array(seen, *cells)).alias("c"))
-        .groupBy(*keys, F.col("c.truth").alias("truth"), F.col("c.pred").alias("pred"))
-        .agg(F.sum("c.n").alias("n"))
-    )
+    counts = pair_counts(df, truth, pred, keys, weight)
+    listed = F.array(*[F.lit(label) for label in labels])
+    base = counts.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    grid = base.select(*keys, F.explode(listed).alias("truth")).select(*keys, "truth", F.explode(listed).alias("pred"))
+    grid = grid.withColumn("n", F.lit(0).cast("bigint"))
+    seen = counts.where(F.col("truth").isin(*labels) & F.col("pred").isin(*labels))
+    return seen.unionByName(grid).groupBy(*keys, "truth", "pred").agg(F.sum("n").alias("n"))
 
 
 def confusion_rows(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

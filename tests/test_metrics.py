@@ -79,6 +79,12 @@ def test_confusion_grid_is_whole(frame, pairs):
     assert [r["counts"] for r in matrix] == [[cells[t, p] for p in LABELS] for t in LABELS]
 
 
+def test_grid_of_an_empty_table_is_all_zeros(frame):
+    cells = metrics.confusion(frame.where("y > 9"), "y", "p", LABELS).collect()
+    assert len(cells) == 16 and {r["n"] for r in cells} == {0}
+    assert metrics.confusion(frame.where("y > 9"), "y", "p", LABELS, ["k"]).count() == 0
+
+
 def test_losses_weigh_a_short_last_batch(spark):
     rows = [(0, [-1.0, -9.0], 0), (0, [-2.0, -9.0], 0), (1, [-9.0, -6.0], 1)]
     df = spark.createDataFrame(rows, "batch_id long, lp array<double>, y int")
