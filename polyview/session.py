@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -39,22 +40,26 @@ def build_session(name: str = "polyview", master: str | None = None, **extra: st
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where it is unset, a local session gets a temporary folder and remembers it;
-    a cluster session is refused, since executors share no local disk.
+    Where it is unset, a folder of the warehouse, which driver and executors
+    share as well.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="polyview-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the scratch folder."""
-    return "/".join((scratch_root(spark), f"{name}-{uuid.uuid4().hex}"))
+    """A fresh path under the scratch folder; ``clean_scratch`` removes it."""
+    path = "/".join((scratch_root(spark), f"{name}-{uuid.uuid4().hex}"))
+    _written.append(path)
+    return path
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Removes every scratch folder handed out so far; frames read from them end with it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -5,13 +5,13 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from polyview.session import build_session  # noqa: E402
+from polyview.session import build_session, clean_scratch  # noqa: E402
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests",
         "local[4]",
@@ -19,10 +19,12 @@ def spark():
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "4g",
             "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch")),
         },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clean_scratch(session)
     session.stop()
 
 
