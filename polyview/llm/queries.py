@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyview.llm import exact_dedup
+from polyview.llm import exact_dedup, simhash
 from polyview.llm.common import table
 from polyview.llm.registry import query
 
@@ -19,3 +19,8 @@ from polyview.llm.registry import query
 )
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op4_simhash_dedup")
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_dedup(table(spark, sf_dir, "documents"))

@@ -9,10 +9,11 @@ prefix sums of ``table[byte] * base**i`` a word's sum is a difference, divided b
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 
+from polyview.llm.common import process_state
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 SEGMENT = 1 << 20  # bytes hashed at once
@@ -32,14 +33,17 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-@cache
-def _tables(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _make_tables(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     base = int(rng.integers(1, 2**63)) * 2 + 1
     table = rng.integers(0, 2**64, 256, U, endpoint=False)
     return table, _powers(base, SEGMENT), _powers(pow(base, -1, 2**64), SEGMENT)
 
 
+def _tables(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return process_state(f"word_tables_{seed}", lambda: _make_tables(seed))
+
+
 @dataclass
 class Words:
     """``starts`` and ``ends`` of all words in ``buf``; row r owns words ``first[r]`` to ``first[r + 1]``."""
