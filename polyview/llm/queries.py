@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from polyview.llm import exact_dedup, simhash, substring
+from polyview.llm import bpe, exact_dedup, packing, simhash, substring, token_files
 from polyview.llm.common import table
 from polyview.llm.registry import query
+from polyview.session import scratch_path
 
 
 @query(
@@ -30,3 +32,25 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.substring_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op6_byte_bpe")
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_token_files")
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = scratch_path(spark, "tokens")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), target, path, vocabulary=49_408, end=2)
+    return token_files.read_tokens(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
