@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from polyview.llm import bpe, exact_dedup, packing, simhash, substring, token_files
+from polyview.llm import bpe, exact_dedup, packing, simhash, sketches, substring, token_files
 from polyview.llm.common import table
 from polyview.llm.registry import query
 from polyview.session import scratch_path
@@ -54,3 +54,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     token_files.write_tokens(table(spark, sf_dir, "documents"), target, path, vocabulary=49_408, end=2)
     return token_files.read_tokens(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op7_scaled_sketches")
+def op7_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edited_sketches(table(spark, sf_dir, "documents"))
