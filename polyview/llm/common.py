@@ -20,10 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def id_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Only ``_id`` (NULL as the smallest long) and ``_text`` (NULL as empty)."""
-    return docs.select(
-        F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID)).alias("_id"),
-        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"),
-    )
+    return docs.select(id_column(doc_id).alias("_id"), text_column(text).alias("_text"))
+
+
+def id_column(name: str) -> Column:
+    return F.coalesce(F.col(f"`{name}`").cast("long"), F.lit(NULL_ID))
+
+
+def text_column(name: str) -> Column:
+    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
 def given_id(name: str = "_id") -> Column:
@@ -50,7 +55,7 @@ def process_state(name: str, make: Callable[[], object]) -> object:
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches that workers get by bytes, unless the session already does."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if "SET_BY_USER" == spark.conf.get(key, "SET_BY_USER"):
+    if spark.conf.get(key, None) is None:
         spark.conf.set(key, "16m")
 
 
