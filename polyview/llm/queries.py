@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from polyview.llm import bpe, exact_dedup, packing, simhash, sketches, substring, token_files
+from polyview.llm import bpe, exact_dedup, language, licenses, packing, simhash, sketches, substring, token_files, urls
 from polyview.llm.common import table
 from polyview.llm.registry import query
 from polyview.session import scratch_path
@@ -59,3 +59,42 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_scaled_sketches")
 def op7_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edited_sketches(table(spark, sf_dir, "documents"))
+
+
+RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
+
+@query("op2_url_filter")
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document that its path names last; that document's label is the page's outcome."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    shown = F.regexp_extract(urls.host_and_path(F.col("url"))[1], "/([0-9]{1,18})(?:[.][a-z]+)?/?$", 1)
+    named = pages.select("url", F.when(shown != "", shown.cast("long")).alias("doc_id")).where(F.col("doc_id").isNotNull())
+    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")
+    outcomes = named.join(table(spark, sf_dir, "labels").select("doc_id", good), "doc_id").select("url", "good")
+    return urls.filter_urls(pages, outcomes, RULES)
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus column ``lang`` is what a document declares, its ``source`` the host."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit_text(docs), declared="lang", host="source")
+
+
+@query("language_id_pages")
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages: the declared language is that of the markup, suffix and host are those of the address."""
+    html, url = F.col("html"), F.col("url")
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", language.markup_text(html).alias("text"), language.markup_language(html).alias("lang"),
+        urls.host_and_path(url)[0].alias("host"),
+    )
+    model = language.fit_text(table(spark, sf_dir, "documents"))
+    found = language.identify(pages, model, doc_id="page_id", declared="lang", host="host")
+    return found.withColumnRenamed("doc_id", "page_id").drop("text_key")
+
+
+@query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("text_key")
