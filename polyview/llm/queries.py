@@ -63,8 +63,72 @@ def op7_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
-
-@query("op2_url_filter")
+_STRENGTH = """
+    {level}_groups AS (SELECT {level}, sum(n) AS n, sum(good) AS good FROM rated GROUP BY {level}),
+    {level}_moments AS (
+        SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(good)::DOUBLE AS good, sum((n * n)::DOUBLE) AS n2,
+               sum(n * (good / n) * (good / n)) AS square, sum(n * (good / n) * (1 - good / n)) AS inside
+        FROM {level}_groups),
+    {level}_parts AS (
+        SELECT k, n, (square - good * good / n) / (k - 1) AS b, inside / (n - k) AS w, (n - n2 / n) / (k - 1) AS size
+        FROM {level}_moments WHERE k >= 2 AND n > k),
+    {level}_alike AS (SELECT (b - w) / nullif(greatest(b + (size - 1) * w, 0), 0) AS alike FROM {level}_parts),
+    {level}_pull AS (SELECT coalesce(
+        (SELECT CASE WHEN alike > 0 THEN least({high}, greatest({low}, 1 / alike - 1)) ELSE {high} END FROM {level}_alike), {high}) AS pull)"""
+_RULE = "WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{start}') THEN '{value}'"
+
+
+def _rule_sql(value: int) -> str:
+    """The rules from the longest on as a CASE; ``value`` picks the rule or its verdict."""
+    whens = []
+    for rule in sorted(RULES, key=lambda r: (-len(r[0]), r[0])):
+        name, slash, start = rule[0].partition("/")
+        whens.append(_RULE.format(name=name, start=slash + start, value=rule[value]))
+    return f"CASE {' '.join(whens)} END"
+
+
+URL_SQL = f"""
+WITH cut AS (
+    SELECT page_id, url, CASE WHEN position('://' IN coalesce(url, '')) > 0
+        THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+hosted AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+parsed AS (
+    SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two, string_split(host, '.')[-1] AS one,
+           array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') AS three FROM hosted),
+named AS (
+    SELECT *, CASE WHEN two IN ({", ".join(f"'{t}'" for t in urls.TWO_LABELS)}) THEN two ELSE one END AS suffix,
+           CASE WHEN two IN ({", ".join(f"'{t}'" for t in urls.TWO_LABELS)}) THEN three ELSE two END AS domain FROM parsed),
+shown AS (
+    SELECT host, suffix, domain, try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:[.][a-z]+)?/?$', 1), '') AS BIGINT) AS doc_id FROM named),
+rated AS (
+    SELECT host, suffix, domain, count(*) AS n, sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good
+    FROM shown JOIN labels USING (doc_id) WHERE (quality = 1 AND toxic = 0) IS NOT NULL GROUP BY host, suffix, domain),
+{",".join(_STRENGTH.format(level=x, low=urls.STRENGTH[0], high=urls.STRENGTH[1]) for x in urls.LEVELS)},
+overall AS (SELECT (coalesce(sum(good), 0) + 1.0::DOUBLE) / (coalesce(sum(n), 0) + 2.0::DOUBLE) AS mean FROM rated),
+hosts AS (SELECT DISTINCT host, suffix, domain FROM named),
+of_suffix AS (
+    SELECT h.*, (coalesce(g.good, 0) + pull * mean) / (coalesce(g.n, 0) + pull) AS m1
+    FROM hosts h LEFT JOIN suffix_groups g USING (suffix), suffix_pull, overall),
+of_domain AS (
+    SELECT h.*, (coalesce(g.good, 0) + pull * m1) / (coalesce(g.n, 0) + pull) AS m2
+    FROM of_suffix h LEFT JOIN domain_groups g USING (domain), domain_pull),
+of_host AS (
+    SELECT h.host, coalesce(g.n, 0) AS n, coalesce(g.good, 0) + pull * m2 AS a,
+           coalesce(g.n, 0) - coalesce(g.good, 0) + pull * (1 - m2) AS b
+    FROM of_domain h LEFT JOIN host_groups g USING (host), host_pull),
+bounds AS (
+    SELECT host, n, a / (a + b) AS mean,
+           least(a / (a + b) + sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) * {urls.Z}::DOUBLE, 1.0) AS upper FROM of_host)
+SELECT page_id, host, path, {_rule_sql(0)} AS rule,
+       coalesce({_rule_sql(1)}, CASE WHEN upper < {urls.FLOOR} THEN 'block' ELSE 'allow' END) AS verdict,
+       n::BIGINT AS labelled, round(mean, 6) AS posterior_mean, round(upper, 6) AS upper_bound
+FROM named JOIN bounds USING (host)
+"""
+
+
+@query("op2_url_filter", URL_SQL)
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page shows the document that its path names last; that document's label is the page's outcome."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -72,7 +136,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = pages.select("url", F.when(shown != "", shown.cast("long")).alias("doc_id")).where(F.col("doc_id").isNotNull())
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")
     outcomes = named.join(table(spark, sf_dir, "labels").select("doc_id", good), "doc_id").select("url", "good")
-    return urls.filter_urls(pages, outcomes, RULES)
+    judged = urls.filter_urls(pages, outcomes, RULES)
+    return judged.withColumns({c: F.round(c, 6) for c in ("posterior_mean", "upper_bound")})
 
 
 @query("op1_language_id")
