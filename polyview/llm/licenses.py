@@ -166,6 +166,17 @@ def _candidates(template: np.ndarray, diagonal: np.ndarray, band: int) -> Iterat
         yield int(template[a]), int(diagonal[a]), int(diagonal[b - 1])
 
 
+def _matches(own: list[int], hashes: np.ndarray, begin: int, stop: int, low: int, high: int, coverage: float) -> Iterator[tuple[int, int, int]]:
+    """The best alignment between words ``begin`` and ``stop``, and those on either side of it."""
+    if stop - begin < coverage * len(own):
+        return
+    matched, start, end = align(own, hashes[begin:stop].tolist(), low - begin, high - begin)
+    if matched >= coverage * len(own):
+        yield matched, begin + start, begin + end
+        yield from _matches(own, hashes, begin, begin + start, low, high, coverage)
+        yield from _matches(own, hashes, begin + end, stop, low, high, coverage)
+
+
 def find_notices(index: Index, hashes: np.ndarray, template: np.ndarray, diagonal: np.ndarray, coverage: float, band: int):
     """Matches in one text: ``(template, matched, start word, end word)``; of overlapping ones the one with most words."""
     found = []
@@ -174,11 +185,8 @@ def find_notices(index: Index, hashes: np.ndarray, template: np.ndarray, diagona
         # a run of hits on drifting diagonals may hold several notices: each band is tried from its own start
         at = low
         while at <= high:
-            begin = max(0, at - band)
-            text = hashes[begin:min(high, at + band) + band + len(own)].tolist()
-            matched, start, end = align(own, text, at - band - begin, min(high, at + band) + band - begin)
-            if matched >= coverage * len(own):
-                found.append((t, matched, begin + start, begin + end))
+            last = min(high, at + band) + band
+            found += [(t, *m) for m in _matches(own, hashes, max(0, at - band), min(len(hashes), last + len(own)), at - band, last, coverage)]
             at += band + 1
     found.sort(key=lambda m: (-m[1], m[2], m[0]))
     taken: list[tuple[int, int, int, int]] = []

@@ -38,8 +38,8 @@ def shingle_hashes(tokens: Column, size: int = SHINGLE) -> Column:
 
 def keep_low(hashes: Column, fraction: float = FRACTION) -> Column:
     """The sketch: distinct hashes below ``fraction`` of the range and the least one, sorted."""
-    cut = -(2**63) + int(fraction * 2**64)
-    low = F.filter(hashes, lambda h: h < F.lit(cut))
+    highest = -(2**63) + int(fraction * 2**64) - 1
+    low = F.filter(hashes, lambda h: h <= F.lit(highest))
     least = F.filter(F.array(F.array_min(hashes)), lambda h: h.isNotNull())
     return F.array_sort(F.array_distinct(F.concat(low, least)))
 
