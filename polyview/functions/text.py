@@ -12,8 +12,8 @@ PERCENT = "[0-9]%"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased words of the whole text."""
-    return F.array_remove(F.split(F.lower(text), SPACE), "")
+    """Lower-cased words of the whole text; a NULL text has none."""
+    return F.coalesce(F.array_remove(F.split(F.lower(text), SPACE), ""), F.array().cast("array<string>"))
 
 
 def truncate(seq: Column, length: int | None) -> Column:

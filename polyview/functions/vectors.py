@@ -100,8 +100,9 @@ def last_position(arr: Column) -> Column:
 
 
 def nll(lp: Column, label: Column) -> Column:
-    """Negative log-likelihood of a 0-based label."""
-    return -F.get(lp, label)
+    """Negative log-likelihood of a 0-based label; a label without a class is an error."""
+    unknown = F.concat(F.lit("label out of range: "), F.coalesce(label.cast("string"), F.lit("NULL")))
+    return F.coalesce(-F.get(lp, label), F.raise_error(unknown).cast("double"))
 
 
 def cut(vec: Column, widths: Sequence[int]) -> list[Column]:

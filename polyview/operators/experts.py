@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from polyview.functions.vectors import entropy, let, log_softmax
 
-MAX_MODEL_CELLS = 50_000_000  # 400 MB of doubles; a larger model is refused
+SLICE_CELLS = 1 << 22  # numbers that scoring holds at once, besides its input and output
 
 
 def centroid_table(train: DataFrame, vec: str, label: str) -> DataFrame:
@@ -35,6 +35,7 @@ class CentroidModel:
     widths: tuple[int, ...]
     centers: np.ndarray  # classes x sum(widths)
     sharpness: float
+    seen: tuple[bool, ...]  # classes with training rows; the others have probability 0
 
     @property
     def n_classes(self) -> int:
@@ -48,24 +49,34 @@ class CentroidModel:
         """Entropy and log-probabilities, expert-major: experts * (1 + classes) numbers."""
         return self._apply(wide, _judge)
 
+    def _scored(self, rows: np.ndarray, edges: np.ndarray, norms: list[np.ndarray]) -> np.ndarray:
+        z = np.empty((len(rows), len(self.widths), self.n_classes))
+        for e, (a, b) in enumerate(zip(edges, edges[1:])):
+            x = rows[:, a:b].astype(np.float64)
+            z[:, e, :] = -self.sharpness * ((x * x).sum(1)[:, None] - 2.0 * (x @ self.centers[:, a:b].T) + norms[e][None, :])
+        z[:, :, [not seen for seen in self.seen]] = -np.inf
+        return z
+
     def _apply(self, wide: Column, finish: Callable[[np.ndarray], np.ndarray]) -> Column:
-        widths, centers, sharpness = self.widths, self.centers, self.sharpness
+        widths, centers = self.widths, self.centers
         total, edges = sum(widths), np.cumsum((0, *widths))
         norms = [(centers[:, a:b] ** 2).sum(1) for a, b in zip(edges, edges[1:])]
 
         @F.arrow_udf(T.ArrayType(T.DoubleType()))
         def run(batch: pa.Array) -> pa.Array:
-            flat = batch.flatten().to_numpy(zero_copy_only=False)
+            numbers = batch.flatten()
+            flat = numbers.to_numpy(zero_copy_only=False)
             if batch.null_count or flat.size != len(batch) * total:
                 raise ValueError(f"every vector must hold {total} numbers")
+            if numbers.null_count or np.isnan(flat).any():
+                raise ValueError("a vector holds NULL or NaN")
             rows = flat.reshape(len(batch), total)
-            z = np.empty((len(batch), len(widths), centers.shape[0]))
-            for e, (a, b) in enumerate(zip(edges, edges[1:])):
-                x = rows[:, a:b].astype(np.float64)
-                square = (x * x).sum(1)[:, None] - 2.0 * (x @ centers[:, a:b].T) + norms[e][None, :]
-                z[:, e, :] = -sharpness * square
-            out = finish(z)
+            step = max(1, SLICE_CELLS // (len(widths) * (len(centers) + 1)))
+            out = [finish(self._scored(rows[at:at + step], edges, norms)) for at in range(0, max(1, len(batch)), step)]
+            out = np.concatenate(out) if len(out) > 1 else out[0]
             cells = out.shape[1] * out.shape[2]
+            if len(batch) * cells >= 2**31:
+                raise ValueError("lower spark.sql.execution.arrow.maxBytesPerBatch: a batch gives more than 2**31 numbers")
             ends = np.arange(0, (len(batch) + 1) * cells, cells, dtype=np.int32)
             return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
 
@@ -82,24 +93,27 @@ def _judge(z: np.ndarray) -> np.ndarray:
 
 def fit_centroids(train: DataFrame, vec: str, label: str, widths: Sequence[int], n_classes: int,
                   sharpness: float) -> CentroidModel:
-    """Nearest-center experts.  The model is ``n_classes`` vectors, whatever the input size."""
-    cells = n_classes * sum(widths)
-    if cells > MAX_MODEL_CELLS:
-        raise ValueError(f"model of {cells} numbers is over the limit of {MAX_MODEL_CELLS}")
+    """Nearest-center experts.  The model is ``n_classes`` vectors, whatever the input size.
+
+    A class without training rows is never predicted.
+    """
     known = F.col(label).between(0, n_classes - 1)
     strict = F.when(known, F.col(label)).otherwise(
         F.raise_error(F.concat(F.lit("label out of range: "), F.coalesce(F.col(label).cast("string"), F.lit("NULL"))))
         .cast("int")
     )
     table = centroid_table(train.select(F.col(vec), strict.alias("__label")), vec, "__label")
-    rows = {r["class"]: r["center"] for r in table.collect()}  # at most n_classes rows
-    missing = sorted(set(range(n_classes)) - set(rows))
-    if missing:
-        raise ValueError(f"classes without training rows: {missing}")
-    centers = np.array([rows[c] for c in range(n_classes)], dtype=np.float64)
-    if centers.shape[1] != sum(widths):
-        raise ValueError(f"vectors hold {centers.shape[1]} numbers, widths say {sum(widths)}")
-    return CentroidModel(tuple(widths), centers, float(sharpness))
+    rows = table.toArrow()  # at most n_classes rows
+    if not rows.num_rows:
+        raise ValueError("no training rows")
+    found = rows.column("center").combine_chunks()
+    width = len(found.flatten()) // rows.num_rows
+    if width != sum(widths):
+        raise ValueError(f"vectors hold {width} numbers, widths say {sum(widths)}")
+    classes = rows.column("class").to_numpy()
+    centers = np.zeros((n_classes, width))
+    centers[classes] = found.flatten().to_numpy().reshape(-1, width)
+    return CentroidModel(tuple(widths), centers, float(sharpness), tuple(bool(s) for s in np.isin(np.arange(n_classes), classes)))
 
 
 def expert_scores(flat: Column, n_experts: int, n_classes: int) -> Column:
@@ -151,10 +165,14 @@ def gather_decisions(rows: DataFrame, keys: Sequence[str], z: str = "z") -> Data
     return scored.select(*keys, decisions(renamed).alias("decisions"))
 
 
+def _vector(df: DataFrame, vec: str) -> Column:
+    return array_to_vector(F.col(vec)) if isinstance(df.schema[vec].dataType, T.ArrayType) else F.col(vec)
+
+
 def fit_logistic(train: DataFrame, vec: str, label: str, max_iter: int = 20, reg: float = 0.01,
                  ) -> LogisticRegressionModel:
-    """Multinomial logistic regression on an array column."""
-    data = train.select(array_to_vector(F.col(vec)).alias("features"), F.col(label).cast("double").alias("label"))
+    """Multinomial logistic regression on an array or vector column."""
+    data = train.select(_vector(train, vec).alias("features"), F.col(label).cast("double").alias("label"))
     return LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg, standardization=True).fit(data)
 
 
@@ -162,7 +180,7 @@ def logistic_lp(df: DataFrame, model: LogisticRegressionModel, vec: str, name: s
     """Adds the log-probabilities of a fitted model as an array column."""
     raw_only = model.copy().setFeaturesCol("__features").setRawPredictionCol("__raw")
     raw_only = raw_only.setProbabilityCol("").setPredictionCol("")
-    out = raw_only.transform(df.withColumn("__features", array_to_vector(F.col(vec))))
+    out = raw_only.transform(df.withColumn("__features", _vector(df, vec)))
     return out.withColumn(name, log_softmax(vector_to_array("__raw"))).drop("__features", "__raw")
 
 

@@ -3,6 +3,9 @@
 Rows are counted once per (key, truth, prediction) with partial aggregation;
 everything after that works on at most classes**2 rows per key, so a class that
 holds most of the rows costs nothing extra.
+
+One rule for NULL holds everywhere: a row without a prediction counts as wrong and
+belongs to no predicted class; a row without a truth is an error.
 """
 
 from __future__ import annotations
@@ -21,6 +24,12 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / F.when(whole > 0, whole)).otherwise(F.lit(0.0))
 
 
+def given(df: DataFrame, truth: str) -> Column:
+    """The truth, or an error where there is none."""
+    missing = F.raise_error(F.lit(f"a row has no {truth}")).cast(df.schema[truth].dataType)
+    return F.coalesce(F.col(truth), missing)
+
+
 def pair_counts(df: DataFrame, truth: str, pred: str, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """``truth, pred, n`` per key.
 
@@ -29,14 +38,14 @@ def pair_counts(df: DataFrame, truth: str, pred: str, keys: Sequence[str] = (),
     """
     one = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     return (
-        df.select(*keys, F.col(truth).alias("truth"), F.col(pred).alias("pred"), one.alias("n"))
+        df.select(*keys, given(df, truth).alias("truth"), F.col(pred).alias("pred"), one.alias("n"))
         .groupBy(*keys, "truth", "pred")
         .agg(F.sum("n").alias("n"))
     )
 
 
 def accuracy(df: DataFrame, truth: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
-    hit = (F.col(truth) == F.col(pred)).cast("double")
+    hit = given(df, truth).eqNullSafe(F.col(pred)).cast("double")
     return df.groupBy(*keys).agg(F.avg(hit).alias("accuracy"))
 
 
@@ -47,13 +56,18 @@ def confusion(df: DataFrame, truth: str, pred: str, labels: Labels, keys: Sequen
     The grid is unrolled from the label list for every key that has rows, added
     as zeros to the counts, and summed: no join.
     """
+    def cell(t: Column, p: Column, n: Column) -> Column:
+        return F.struct(t.alias("truth"), p.alias("pred"), n.cast("bigint").alias("n"))
+
     counts = pair_counts(df, truth, pred, keys, weight)
-    listed = F.array(*[F.lit(label) for label in labels])
-    base = counts.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-    grid = base.select(*keys, F.explode(listed).alias("truth")).select(*keys, "truth", F.explode(listed).alias("pred"))
-    grid = grid.withColumn("n", F.lit(0).cast("bigint"))
-    seen = counts.where(F.col("truth").isin(*labels) & F.col("pred").isin(*labels))
-    return seen.unionByName(grid).groupBy(*keys, "truth", "pred").agg(F.sum("n").alias("n"))
+    zeros = [cell(F.lit(t), F.lit(p), F.lit(0)) for t in labels for p in labels]
+    listed = F.col("truth").isin(*labels) & F.col("pred").isin(*labels)
+    own = cell(F.col("truth"), F.col("pred"), F.col("n"))
+    # each counted pair brings itself, if listed, and the zeros: one pass over the rows
+    cells = counts.select(*keys, F.explode(F.concat(F.filter(F.array(own), lambda _: listed), F.array(*zeros))).alias("c"))
+    if not keys:  # an empty table has a grid as well
+        cells = cells.unionByName(df.sparkSession.range(1).select(F.explode(F.array(*zeros)).alias("c")))
+    return cells.groupBy(*keys, "c.truth", "c.pred").agg(F.sum("c.n").alias("n"))
 
 
 def confusion_rows(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -89,7 +103,7 @@ def class_totals(df: DataFrame, truth: str, pred: str, labels: Labels | None = N
         .groupBy(*keys, F.col("c.label").alias("label"))
         .agg(*[F.sum(f"c.{name}").alias(name) for name in ("support", "predicted", "both")])
     )
-    return totals if labels is None else totals.where(F.col("label").isin(*labels))
+    return totals.where(F.col("label").isNotNull() if labels is None else F.col("label").isin(*labels))
 
 
 def class_report(df: DataFrame, truth: str, pred: str, labels: Labels | None = None,
@@ -150,12 +164,13 @@ def scores(df: DataFrame, truth: str, pred: str, labels: Labels, keys: Sequence[
 
 
 def losses(df: DataFrame, lp: str, label: str, batch: str = "batch_id", keys: Sequence[str] = ()) -> DataFrame:
-    """Mean NLL over rows, and the mean of the batch means (a short last batch weighs more)."""
-    batches = (
-        df.withColumn("__nll", nll(F.col(lp), F.col(label)))
-        .groupBy(*keys, batch)
-        .agg(F.sum("__nll").alias("s"), F.count(F.lit(1)).alias("n"))
-    )
+    """Losses of log-probabilities; a label without a class is an error."""
+    return mean_losses(df.withColumn("__nll", nll(F.col(lp), F.col(label))), "__nll", batch, keys)
+
+
+def mean_losses(df: DataFrame, value: str, batch: str = "batch_id", keys: Sequence[str] = ()) -> DataFrame:
+    """Mean loss over rows, and the mean of the batch means (a short last batch weighs more)."""
+    batches = df.groupBy(*keys, batch).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
     return batches.groupBy(*keys).agg(
         (F.sum("s") / F.sum("n")).alias("loss_row_mean"),
         F.avg(F.col("s") / F.col("n")).alias("loss_batch_mean"),

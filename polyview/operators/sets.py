@@ -13,6 +13,16 @@ def union_all(*frames: DataFrame, missing: bool = False) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=missing), frames)
 
 
+def union_splits(df: DataFrame, split: str = "split") -> DataFrame:
+    """All splits of a stored corpus as one table, each row with its ``split``.
+
+    A corpus keeps its splits in one table (or in partition folders of one), so
+    the union is a single scan: no list of names can leave a split out, and rows
+    without a split stay.
+    """
+    return df.select(split, *[c for c in df.columns if c != split])
+
+
 def merge_corpora(corpora: Mapping[str, DataFrame]) -> DataFrame:
     """All corpora in one table; each row carries its ``dataset``, and its ``split`` stays."""
     return union_all(*[df.withColumn("dataset", F.lit(name)) for name, df in corpora.items()])

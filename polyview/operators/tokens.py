@@ -1,30 +1,51 @@
 """Vocabularies, token ids and the fitted token views.
 
-Token tables grow with the data and a few tokens hold most of the occurrences,
-so they are joined by ``skew_safe_join``: a broadcast while the table is small,
-beyond that a broadcast for the few frequent tokens and a shuffle for the rest.
+Token tables grow with the data and a few tokens hold most of the occurrences.
+So occurrences are gathered per text before anything is shuffled: a join carries
+one row per text and distinct token, with the token's positions.  The engine
+chooses the join by measured size and splits hot tokens (adaptive skew join).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, IDF, IDFModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from polyview.operators.ranks import global_rank
 
-MAX_HOT = 10_000
-MAX_SMALL_ROWS = 1_000_000
-MAX_SMALL_BYTES = 64 * 2**20
-ID_MASK = 2**32 - 1
-
 # Ids below the vocabulary.
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
 
 
-def explode_tokens(df: DataFrame, key: str, words: str) -> DataFrame:
-    """``key, pos, token``: one row per word."""
-    return df.select(key, F.posexplode(words).alias("pos", "token"))
+def distinct_tokens(df: DataFrame, key: str, words: str) -> DataFrame:
+    """``key, token, positions``: one row per text and distinct word, row-local."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(words)
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(lists)), sizes)
+            position = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(row * (len(flat.dictionary) + 1) + code, kind="stable")
+            row, code = row[order], code[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
+            starts = np.flatnonzero(new)
+            ends = np.append(starts, len(row)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key).take(pa.array(row[starts])), flat.dictionary.take(pa.array(code[starts])),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(position[order].astype(np.int32)))],
+                [key, "token", "positions"],
+            )
+
+    schema = T.StructType([df.schema[key], T.StructField("token", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+    return df.select(key, words).mapInArrow(run, schema)
 
 
 def token_counts(df: DataFrame, words: str) -> DataFrame:
@@ -47,53 +68,18 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     return ranked.withColumn("token_id", F.col("token_id") + FIRST_ID).drop("__hash")
 
 
-def _is_small(table: DataFrame, key: str, max_rows: int) -> bool:
-    """Whether rows and key bytes are within the limits for a broadcast; one job over ``table``."""
-    size = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(key)), F.lit(0)).alias("b")).first()
-    return size["n"] <= max_rows and size["b"] <= MAX_SMALL_BYTES
-
+def encode(df: DataFrame, key: str, words: str, vocab: DataFrame) -> DataFrame:
+    """``key, input_ids`` in word order; unknown words get one id, an empty or NULL text an empty list.
 
-def skew_safe_join(facts: DataFrame, table: DataFrame, key: str, counts: DataFrame | None = None,
-                   max_hot: int = MAX_HOT, max_small: int = MAX_SMALL_ROWS) -> DataFrame:
-    """Left join of ``facts`` with a table of unique keys, whatever the skew of ``facts``.
-
-    A table that is measured and found small is broadcast.  Otherwise a key is
-    hot when it holds more than 1/``max_hot`` of all facts, so fewer than
-    ``max_hot`` keys can be hot: that bounds the broadcasts of the hot part, and
-    no other key is frequent enough to skew the shuffle of the rest.  ``counts``
-    (``key, n``) saves a pass where the frequencies are known.  ``table`` should
-    be stored, and keys of ``facts`` must not be NULL.
-    """
-    if _is_small(table, key, max_small):
-        return facts.join(F.broadcast(table), key, "left")
-    if counts is None:
-        counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    hot = counts.select(key, "n").withColumn("__total", total).where(F.col("n") * max_hot > F.col("__total")).select(key)
-    known = table.join(F.broadcast(hot), key, "left_semi")
-    frequent = facts.join(F.broadcast(hot.join(F.broadcast(known), key, "left")), key)
-    rest = facts.join(F.broadcast(hot), key, "left_anti").join(table, key, "left")
-    return frequent.unionByName(rest)
-
-
-def encode(df: DataFrame, key: str, words: str, vocab: DataFrame, counts: DataFrame | None = None,
-           max_small: int = MAX_SMALL_ROWS) -> DataFrame:
-    """``key, input_ids`` in word order; unknown words get one id, an empty text an empty list.
-
-    A group is one text.  Position and id travel in one number, position first,
-    which sorts and collects much faster than a struct.  Pass ``counts`` when
-    ``df`` is what the vocabulary was built on.
+    A group is one text: its distinct words with their positions, put in order at the end.
     """
-    facts = explode_tokens(df, key, words)
-    joined = skew_safe_join(facts, vocab.select("token", "token_id"), "token", counts, max_small=max_small)
-    token_id = F.coalesce("token_id", F.lit(UNKNOWN_ID).cast("bigint"))
-    too_large = F.raise_error(F.lit("token ids need more than 32 bits")).cast("bigint")
-    small_id = F.when(token_id <= ID_MASK, token_id).otherwise(too_large)
-    placed = joined.select(key, (F.shiftleft(F.col("pos").cast("bigint"), 32) + small_id).alias("p"))
-    lists = placed.groupBy(key).agg(F.sort_array(F.collect_list("p")).alias("p"))
-    lists = lists.select(key, F.transform("p", lambda p: p.bitwiseAND(F.lit(ID_MASK))).alias("input_ids"))
-    empty = df.where(F.size(words) == 0).select(key, F.array().cast("array<bigint>").alias("input_ids"))
-    return lists.unionByName(empty)
+    joined = distinct_tokens(df, key, words).join(vocab.select("token", "token_id"), "token", "left")
+    known = F.coalesce("token_id", F.lit(UNKNOWN_ID).cast("bigint"))
+    lists = joined.groupBy(key).agg(F.collect_list(F.struct("positions", known.alias("token_id"))).alias("found"))
+    placed = F.flatten(F.transform("found", lambda e: F.transform(e["positions"], lambda p: F.struct(p.alias("pos"), e["token_id"].alias("id")))))
+    ids = lists.select(key, F.transform(F.array_sort(placed), lambda x: x["id"]).alias("input_ids"))
+    empty = df.where(F.coalesce(F.size(words), F.lit(0)) <= 0).select(key, F.array().cast("array<bigint>").alias("input_ids"))
+    return ids.unionByName(empty)
 
 
 def log_odds(train: DataFrame, words: str, label: str, n_classes: int) -> DataFrame:
@@ -122,22 +108,36 @@ def log_odds(train: DataFrame, words: str, label: str, n_classes: int) -> DataFr
     return sized.select("token", "n", F.array(*[weight(c) for c in range(n_classes)]).alias("w"))
 
 
-def mean_log_odds(df: DataFrame, key: str, words: str, table: DataFrame, n_classes: int,
-                  max_small: int = MAX_SMALL_ROWS) -> DataFrame:
+def mean_log_odds(df: DataFrame, key: str, words: str, table: DataFrame, n_classes: int) -> DataFrame:
     """``key, s_0 ..``: class weights of a text's words, averaged over all of them.
 
-    Words without a weight count as 0, and so does an empty text.
+    Words without a weight count as 0, and so does an empty or NULL text.
     """
     names = [f"s_{c}" for c in range(n_classes)]
-    facts = df.select(key, F.explode(words).alias("token"))
-    joined = skew_safe_join(facts, table.select("token", "w"), "token", max_small=max_small)
+    joined = distinct_tokens(df, key, words).join(table.select("token", "w"), "token", "left")
+    n = F.size("positions")
     means = joined.groupBy(key).agg(
-        *[F.avg(F.coalesce(F.get("w", F.lit(c)), F.lit(0.0))).alias(name) for c, name in enumerate(names)]
+        *[(F.sum(F.coalesce(F.get("w", F.lit(c)), F.lit(0.0)) * n) / F.sum(n)).alias(name) for c, name in enumerate(names)]
     )
-    empty = df.where(F.size(words) == 0).select(key, *[F.lit(0.0).alias(name) for name in names])
+    empty = df.where(F.coalesce(F.size(words), F.lit(0)) <= 0).select(key, *[F.lit(0.0).alias(name) for name in names])
     return means.unionByName(empty)
 
 
+def bucket_of(token: Column, width: int) -> Column:
+    """Bucket of a token by the first eight digits of its MD5, which any engine can compute."""
+    return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % width
+
+
+def sparse_tf_idf(df: DataFrame, key: str, words: str, width: int) -> DataFrame:
+    """``key, pos, v``: hashed TF-IDF with smoothed document frequencies, only the buckets a text has."""
+    counted = distinct_tokens(df, key, words).select(key, bucket_of(F.col("token"), width).alias("pos"), F.size("positions").alias("n"))
+    tf = counted.groupBy(key, "pos").agg(F.sum("n").alias("tf"))
+    frequencies = tf.groupBy("pos").agg(F.count(F.lit(1)).alias("df"))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    joined = tf.join(frequencies, "pos").withColumn("total", total)
+    return joined.select(key, "pos", (F.col("tf") * F.ln((F.col("total") + 1) / (F.col("df") + 1))).alias("v"))
+
+
 def fit_idf(df: DataFrame, words: str, width: int) -> IDFModel:
     """Document frequencies of hashed terms: ``width`` numbers, whatever the vocabulary."""
     hashed = HashingTF(numFeatures=width, inputCol=words, outputCol="__tf").transform(df)
@@ -145,6 +145,6 @@ def fit_idf(df: DataFrame, words: str, width: int) -> IDFModel:
 
 
 def tf_idf(df: DataFrame, words: str, model: IDFModel, width: int, name: str) -> DataFrame:
-    """Adds the dense hashed TF-IDF vector of a text; row-local."""
+    """Adds the hashed TF-IDF vector of a text, sparse; row-local."""
     hashed = HashingTF(numFeatures=width, inputCol=words, outputCol="__tf").transform(df)
-    return model.transform(hashed).withColumn(name, vector_to_array("__tfidf")).drop("__tf", "__tfidf")
+    return model.transform(hashed).withColumnRenamed("__tfidf", name).drop("__tf")

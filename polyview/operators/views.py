@@ -62,15 +62,15 @@ def explode_views_by_table(df: DataFrame, wide: str, width_table: DataFrame, kee
 def concat_views(views: DataFrame, n_experts: int, keys: Sequence[str] = ("row_id",)) -> DataFrame:
     """Long views to one wide vector per row, experts side by side in index order.
 
-    Rows that miss an expert are left out.  A group holds one vector per expert.
+    A group holds one vector per expert; a missing or repeated expert is an error.
     """
     parts = F.array_sort(F.collect_list(F.struct("expert", "vec")))
-    return (
-        views.groupBy(*keys)
-        .agg(parts.alias("parts"))
-        .where(F.size("parts") == n_experts)
-        .select(*keys, F.flatten(F.transform("parts", lambda p: p["vec"])).alias("wide"))
-    )
+    found = F.transform("parts", lambda p: p["expert"].cast("int"))
+    whole = found == F.sequence(F.lit(0), F.lit(n_experts - 1))
+    said = F.concat(F.lit("a row needs each expert once, it has: "), F.array_join(found.cast("array<string>"), " "))
+    wide = F.flatten(F.transform("parts", lambda p: p["vec"]))
+    checked = F.when(whole, wide).otherwise(F.raise_error(said).cast(views.schema["vec"].dataType))
+    return views.groupBy(*keys).agg(parts.alias("parts")).select(*keys, checked.alias("wide"))
 
 
 def view_widths(views: DataFrame, keys: Sequence[str] = ("expert",)) -> DataFrame:
@@ -84,10 +84,10 @@ def view_widths(views: DataFrame, keys: Sequence[str] = ("expert",)) -> DataFram
     )
 
 
-def checked_widths(views: DataFrame) -> list[int]:
-    """The width of each expert in index order; ragged vectors are an error."""
-    rows = view_widths(views).orderBy("expert").collect()  # one row per expert
-    ragged = [r["expert"] for r in rows if r["width"] is None]
+def checked_widths(views: DataFrame, keys: Sequence[str] = ("expert",)) -> list[int]:
+    """The width of each artefact in order of ``keys``; ragged vectors are an error."""
+    rows = view_widths(views, keys).orderBy(*keys).collect()  # one row per artefact
+    ragged = [tuple(r[k] for k in keys) for r in rows if r["width"] is None]
     if ragged:
         raise ValueError(f"experts with vectors of several widths: {ragged}")
     return [r["width"] for r in rows]

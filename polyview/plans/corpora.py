@@ -122,7 +122,7 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("flag", "status", "n_lines", "quantity"))).alias("events")
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    return orders.join(lists, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
+    return orders.join(lists, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
 
 
 @query(
@@ -243,10 +243,10 @@ def path_basename(spark, sf_dir):
 # ---------------------------------------------------------------- unions and splits
 
 
-@query("union_splits", "SELECT lang AS split, doc_id, n_chars FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')")
+@query("union_splits", "SELECT lang AS split, doc_id, n_chars FROM documents")
 def union_splits(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("split"), "doc_id", "n_chars")
-    return sets.union_all(*[labels.select_split(docs, lang) for lang in ("en", "fr", "de", "es")])
+    return sets.union_splits(docs)
 
 
 MERGED = f"substr(md5('{SPLIT_SEED}:' || %s), 1, 8) < '{hex_cut(TEST_SIZE)}'"
@@ -254,20 +254,25 @@ MERGED = f"substr(md5('{SPLIT_SEED}:' || %s), 1, 8) < '{hex_cut(TEST_SIZE)}'"
 
 @query(
     "merge_corpora",
-    f"""SELECT dataset, CASE WHEN test THEN 'test' ELSE 'train' END AS split, input FROM (
-      SELECT 'documents' AS dataset, {MERGED % 'doc_id'} AS test, text AS input FROM documents
-      UNION ALL SELECT 'benchmark', {MERGED % 'item_id'}, text FROM benchmark
-      UNION ALL SELECT 'conversations', {MERGED % "conv_id || ':' || turn"}, text FROM conversations)""",
+    f"""SELECT dataset, CASE WHEN test THEN 'test' ELSE 'train' END AS split, input, output FROM (
+      SELECT 'documents' AS dataset, {MERGED % 'doc_id'} AS test, text AS input, lang AS output FROM documents
+      UNION ALL SELECT 'benchmark', {MERGED % 'item_id'}, text, NULL FROM benchmark
+      UNION ALL SELECT 'conversations', {MERGED % "conv_id || ':' || turn"}, text, role FROM conversations)""",
 )
 def merge_corpora(spark, sf_dir):
-    keys = {"documents": ["doc_id"], "benchmark": ["item_id"], "conversations": ["conv_id", "turn"]}
+    """Each corpus brings its own labels: the merged vocabulary is open, and a corpus without labels has none."""
+    sources = {
+        "documents": (["doc_id"], F.col("lang")),
+        "benchmark": (["item_id"], F.lit(None).cast("string")),
+        "conversations": (["conv_id", "turn"], F.col("role")),
+    }
     corpora = {
         name: ranks.split_hash(table(spark, sf_dir, name), key, TEST_SIZE, SPLIT_SEED).select(
-            "split", F.col("text").alias("input")
+            "split", F.col("text").alias("input"), label.alias("output")
         )
-        for name, key in keys.items()
+        for name, (key, label) in sources.items()
     }
-    return sets.merge_corpora(corpora).select("dataset", "split", "input")
+    return sets.merge_corpora(corpora).select("dataset", "split", "input", "output")
 
 
 @query(
@@ -353,10 +358,12 @@ _EMPTY = "''"
 
 @query(
     "prompt_infer",
-    f"WITH {PAIRS_SQL} SELECT conv_id, turn, {_sql_prompt(prompts.PLAIN, 'input', _EMPTY)} AS text_infer FROM pairs",
+    f"SELECT conv_id, turn, {_sql_prompt(prompts.PLAIN, 'text', _EMPTY)} AS text_infer FROM conversations WHERE role = 'user'",
 )
 def prompt_infer(spark, sf_dir):
-    return turn_pairs(spark, sf_dir).select("conv_id", "turn", prompts.infer_prompt(F.col("input")).alias("text_infer"))
+    """Every user turn: a prompt for inference needs no reply."""
+    turns = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return turns.select("conv_id", "turn", prompts.infer_prompt(F.col("text")).alias("text_infer"))
 
 
 _ASK = _sql_text(prompts.SENTIMENT_INSTRUCTION)
@@ -408,16 +415,20 @@ def prompt_record(spark, sf_dir):
     return parts.select("p_partkey", text.alias("text"))
 
 
+_FIRST = ["CASE WHEN l_orderkey IS NOT NULL THEN o_orderkey END", "CASE WHEN l_orderkey IS NOT NULL THEN o_orderstatus END", "flag", "status", "n_lines"]
+
+
 @query(
     "narrative_nested",
     f"""WITH {ORDER_DOCS_SQL}, firsts AS (
       SELECT l_orderkey, flag, status, n_lines FROM groups
       QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY flag, status) = 1
     )
-    SELECT o_orderkey, {_sql_prompt(prompts.NARRATIVE, 'o_orderpriority', 'o_orderkey', 'o_orderstatus', 'flag', 'status', 'n_lines')} AS text
-    FROM orders JOIN firsts ON o_orderkey = l_orderkey""",
+    SELECT o_orderkey, {_sql_prompt(prompts.NARRATIVE, 'o_orderpriority', *[f"coalesce({c}::VARCHAR, 'None')" for c in _FIRST])} AS text
+    FROM orders LEFT JOIN firsts ON o_orderkey = l_orderkey""",
 )
 def narrative_nested(spark, sf_dir):
+    """Every order, in the lenient form: one without lines has ``None`` for what its first line would say."""
     docs = order_documents(spark, sf_dir)
     key, category = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
     events = F.transform(
@@ -430,7 +441,7 @@ def narrative_nested(spark, sf_dir):
             e["n_lines"].alias("sentiment"),
         ),
     )
-    return docs.select("o_orderkey", prompts.narrative(F.col("o_orderpriority"), events).alias("text"))
+    return docs.select("o_orderkey", prompts.narrative(F.col("o_orderpriority"), events, strict=False).alias("text"))
 
 
 @query("prompt_identity", f"SELECT item_id, text || '{EOS}' AS text FROM benchmark")
@@ -439,14 +450,14 @@ def prompt_identity(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", text.alias("text"))
 
 
-def _label_batch(batch):
-    """Formats a batch the way a batched map over a corpus does."""
-    return batch.assign(text="### Input:\n" + batch["text"] + "\n\n### Response:\n")[["item_id", "text"]]
+def _compose_batch(batch):
+    """Composes characters (Unicode NFC), for which there is no Column function."""
+    return batch.assign(text=batch["text"].str.normalize("NFC"))[["item_id", "text"]]
 
 
-@query("map_batches", f"SELECT item_id, {_sql_prompt(prompts.PLAIN, 'text', _EMPTY)} AS text FROM benchmark")
+@query("map_batches", "SELECT item_id, nfc_normalize(text) AS text FROM benchmark")
 def map_batches(spark, sf_dir):
-    return batched.map_batches(table(spark, sf_dir, "benchmark"), _label_batch, "item_id bigint, text string")
+    return batched.map_batches(table(spark, sf_dir, "benchmark"), _compose_batch, "item_id bigint, text string")
 
 
 @query(

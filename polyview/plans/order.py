@@ -8,10 +8,10 @@ from polyview.functions import text as X
 from polyview.operators import batches, ranks
 from polyview.plans.base import query, table
 from polyview.schema import GATE_BATCH, SPLIT_SEED
-from polyview.session import spread
+from polyview.session import stored
 
 ROW_SEED = 0
-MAX_STEPS = 10
+MAX_STEPS = None  # the cap of a fit on its training batches; by default there is none
 WORDS_SQL = "regexp_extract_all(lower(text), '[^ \\t\\n\\r\\f]+')"
 ROWS_SQL = f"""
 rows AS (
@@ -30,9 +30,8 @@ def numbered(spark, sf_dir):
 
 def padded(spark, sf_dir):
     """Words of the whole texts, padded to the longest text of their batch."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    docs = docs.select("doc_id", X.tokens(F.col("text")).alias("words"))
-    lengths = docs.select("doc_id", F.size("words").alias("real_len"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("words"))
+    lengths = stored(docs.select("doc_id", F.size("words").alias("real_len")), "lengths")  # one number per text, read three times
     rows = ranks.mini_batches(ranks.seeded_rank(lengths, ["doc_id"], ROW_SEED), GATE_BATCH)
     return batches.pad_rows(docs.join(batches.batch_lengths(rows), "doc_id"), "words", F.lit("<pad>"))
 
@@ -63,9 +62,10 @@ def mini_batches(spark, sf_dir):
 
 @query(
     "step_cap",
-    f"WITH {ROWS_SQL} SELECT doc_id, row_id // {GATE_BATCH} AS batch_id FROM rows WHERE row_id // {GATE_BATCH} < {MAX_STEPS}",
+    f"WITH {ROWS_SQL} SELECT doc_id, row_id // {GATE_BATCH} AS batch_id FROM rows",
 )
 def step_cap(spark, sf_dir):
+    """Training batches under the default cap, which keeps them all; a cap is a parameter of one fit."""
     rows = ranks.mini_batches(numbered(spark, sf_dir), GATE_BATCH)
     return ranks.step_cap(rows, MAX_STEPS).select("doc_id", "batch_id")
 

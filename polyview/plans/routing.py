@@ -311,8 +311,11 @@ def positioned(rows):
     SELECT expert, {q6('sum(s) / sum(n)')} AS loss_row_mean, {q6('avg(m)')} AS loss_batch_mean FROM batches GROUP BY 1""",
 )
 def nll_loss(spark, sf_dir):
-    rows = expert_rows(positioned(decided(spark, sf_dir, test_only=True)))
-    losses = metrics.losses(rows, "lp", "y", keys=["expert"])
+    # one number per expert is all that goes through the ranking
+    per_expert = F.transform("decisions", lambda d: F.struct(d["expert"].alias("expert"), V.nll(d["lp"], F.col("y")).alias("nll")))
+    rows = positioned(decided(spark, sf_dir, test_only=True).select("vec_id", per_expert.alias("losses")))
+    rows = rows.select("batch_id", F.explode("losses").alias("x")).select("batch_id", "x.expert", "x.nll")
+    losses = metrics.mean_losses(rows, "nll", keys=["expert"])
     return losses.select("expert", r6(F.col("loss_row_mean")).alias("loss_row_mean"), r6(F.col("loss_batch_mean")).alias("loss_batch_mean"))
 
 
@@ -330,13 +333,12 @@ def nll_loss(spark, sf_dir):
 )
 def joint_loss(spark, sf_dir):
     y = F.col("y")
-    rows = positioned(routed(spark, sf_dir, test_only=True))
-    rows = rows.select(
-        "batch_id",
+    rows = routed(spark, sf_dir, test_only=True).select(
+        "vec_id",
         V.nll(routing.refine(F.col("fused"), MIX_W, MIX_B), y).alias("mix"),
         F.aggregate("decisions", F.lit(0.0), lambda acc, d: acc + V.nll(d["lp"], y)).alias("ex"),
     )
-    batches = rows.groupBy("batch_id").agg(F.sum("mix").alias("mix"), F.sum("ex").alias("ex"), F.count(F.lit(1)).alias("n"))
+    batches = positioned(rows).groupBy("batch_id").agg(F.sum("mix").alias("mix"), F.sum("ex").alias("ex"), F.count(F.lit(1)).alias("n"))
     both, n = F.col("mix") + F.col("ex"), F.sum("n")
     return batches.agg(
         r6(F.sum("mix") / n).alias("mixture_loss"),

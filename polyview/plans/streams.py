@@ -12,10 +12,13 @@ from polyview.session import scratch_path, table_path
 from polyview.streaming.scoring import drain, read_stream, score_stream
 
 
+FILES_PER_TRIGGER = 64  # a backlog is worked off in batches of this size, each of them committed
+
+
 def run(spark, sf_dir, name, score):
     """One ``availableNow`` pass over a table, and what it stored."""
     schema = spark.read.parquet(table_path(sf_dir, name)).schema
-    source = read_stream(spark, table_path(sf_dir, f"{{{name}}}"), schema)  # a glob: the table may be one file
+    source = read_stream(spark, table_path(sf_dir, f"{{{name}}}"), schema, FILES_PER_TRIGGER)  # a glob: one file or many
     out = scratch_path(spark, "stream")
     drain(score_stream(source, score, f"{out}/rows", f"{out}/progress"))
     return spark.read.parquet(f"{out}/rows")

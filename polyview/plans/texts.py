@@ -10,10 +10,10 @@ from polyview.plans.base import q6, query, r6, table
 from polyview.plans.corpora import EXAMPLES_SQL, sentiment
 from polyview.plans.order import WORDS_SQL
 from polyview.schema import DIMENSIONS, LABEL_TO_ID, SPLIT_SEED
-from polyview.session import spread, stored
+from polyview.session import stored
 
 SHORT, LONG = 64, 2048
-HASH_WIDTH = 64
+HASH_WIDTH = 2**18
 N_CLASSES = len(LABEL_TO_ID)
 
 # A stand-in event lexicon of words that occur in the fixtures.
@@ -27,7 +27,7 @@ LEXICON = {
 
 def worded(spark, sf_dir) -> DataFrame:
     """``doc_id, words`` of all documents, whole texts."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", X.tokens(F.col("text")).alias("words"))
 
 
@@ -74,7 +74,7 @@ def vocabulary(spark, sf_dir):
 def vocab_encode(spark, sf_dir):
     docs = token_table(spark, sf_dir)
     vocab = stored(tokens.vocabulary(tokens.token_counts(docs, "words")), "vocabulary")
-    ids = tokens.encode(docs, "doc_id", "words", vocab, vocab.select("token", "n"))
+    ids = tokens.encode(docs, "doc_id", "words", vocab)
     return ids.select("doc_id", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("ids"))
 
 
@@ -117,11 +117,17 @@ def view_token_stats(spark, sf_dir):
     )
 
 
-@query("view_semantic")
+@query(
+    "view_semantic",
+    f"""WITH {WORDED_SQL}, occurrences AS (
+      SELECT doc_id, ('0x' || substr(md5(unnest(words)), 1, 8))::BIGINT % {HASH_WIDTH} AS pos FROM worded
+    ), tf AS (SELECT doc_id, pos, count(*) AS tf FROM occurrences GROUP BY ALL
+    ), frequencies AS (SELECT pos, count(*) AS df FROM tf GROUP BY 1)
+    SELECT doc_id, pos, {q6("tf * ln(((SELECT count(*) FROM worded) + 1) / (df + 1))")} AS v FROM tf JOIN frequencies USING (pos)""",
+)
 def view_semantic(spark, sf_dir):
-    docs = token_table(spark, sf_dir)
-    rows = tokens.tf_idf(docs, "words", tokens.fit_idf(docs, "words", HASH_WIDTH), HASH_WIDTH, "vec")
-    return rows.select("doc_id", F.posexplode("vec").alias("pos", "v")).select("doc_id", "pos", r6(F.col("v")).alias("v"))
+    rows = tokens.sparse_tf_idf(worded(spark, sf_dir), "doc_id", "words", HASH_WIDTH)
+    return rows.select("doc_id", "pos", r6(F.col("v")).alias("v"))
 
 
 @query(
@@ -133,7 +139,7 @@ def view_semantic(spark, sf_dir):
 def view_numeric(spark, sf_dir):
     features = X.numeric_features(F.col("text"))
     features["digit_share"] = r6(features["digit_share"])
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", *[v.alias(k) for k, v in features.items()])
 
 
@@ -201,7 +207,7 @@ def view_sentiment(spark, sf_dir):
 
 def four_views(spark, sf_dir) -> DataFrame:
     """``doc_id, split, y`` and one vector column per dimension, of the labelled documents."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = stored(labelled(spark, sf_dir, docs.withColumn("words", X.tokens(F.col("text")))), "labelled")
     odds = stored(fitted_odds(rows), "log-odds")
     idf = tokens.fit_idf(rows.where(F.col("split") == "train"), "words", HASH_WIDTH)
@@ -274,7 +280,7 @@ def text_features(text: Column, words: Column) -> list[Column]:
 @query("routed_text", ROUTED_TEXT_SQL)
 def routed_text(spark, sf_dir):
     """From texts to predictions: four views, one nearest-center expert each, entropy gate, fusion."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = stored(labelled(spark, sf_dir, docs.withColumn("words", X.tokens(F.col("text")))), "labelled")
     means = tokens.mean_log_odds(rows, "doc_id", "words", stored(fitted_odds(rows), "log-odds"), N_CLASSES)
     features = text_features(F.col("text"), F.col("words"))
@@ -315,8 +321,11 @@ def expert_logreg(spark, sf_dir):
 @query("expert_eval")
 def expert_eval(spark, sf_dir):
     rows = learned_rows(spark, sf_dir).where(F.col("split") == "test")
-    rows = rows.withColumn("pred", V.argmax(F.col("lp")))
-    return metrics.scores(rows, "y", "pred", list(LABEL_TO_ID.values()), ["expert"])
+    rows = rows.select("expert", "y", V.argmax(F.col("lp")).alias("pred"), V.nll(F.col("lp"), F.col("y")).alias("nll"))
+    counted = rows.groupBy("expert", "y", "pred").agg(F.count(F.lit(1)).alias("n"), F.sum("nll").alias("nll"))
+    counted = stored(counted, "outcomes")  # labels**2 rows per expert, read by both metrics
+    loss = counted.groupBy("expert").agg((F.sum("nll") / F.sum("n")).alias("loss"))
+    return metrics.scores(counted, "y", "pred", list(LABEL_TO_ID.values()), ["expert"], weight="n").join(loss, "expert")
 
 
 @query("mixture_calibrate")

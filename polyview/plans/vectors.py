@@ -14,7 +14,6 @@ from polyview.session import scratch_path
 from polyview.sources import views as stored_views
 
 WIDTHS = [8] * 8
-BUCKETS = 8
 SCALE = 10.0  # spreads the unit vectors, so that softmax rows differ
 CATALOG = views.numbered_catalog({dimension: 2 for dimension in DIMENSIONS}, "view_")
 DIMENSION_SQL = "list_extract(['Semantic', 'Math', 'Event', 'Sentiment'], (expert // 2 + 1)::BIGINT)"
@@ -77,6 +76,23 @@ def view_widths(spark, sf_dir):
     FROM long WHERE expert IN (2, 5) GROUP BY ALL""",
 )
 def views_roundtrip(spark, sf_dir):
+    """Two of the eight stored experts: the folders of the others are not read."""
+    return _totals(stored_views.read_views(spark, _stored(spark, sf_dir), dataset="embeddings", experts=["view_2", "view_5"]))
+
+
+@query(
+    "views_roundtrip_all",
+    f"""WITH {LONG_SQL}
+    SELECT 'embeddings' AS dataset, CASE WHEN substr(md5('42:' || vec_id), 1, 8) < '33333333' THEN 'test' ELSE 'train' END AS split,
+           'view_' || expert AS expert, vec_id AS row_id, count(*)::INTEGER AS width, {q6('sum(v)')} AS total
+    FROM long GROUP BY ALL""",
+)
+def views_roundtrip_all(spark, sf_dir):
+    """All stored experts, after a check of their widths."""
+    return _totals(stored_views.read_views(spark, _stored(spark, sf_dir), check=True))
+
+
+def _stored(spark, sf_dir) -> str:
     rows = split_hash(long_views(spark, sf_dir), ["vec_id"], 0.2, 42).select(
         F.col("vec_id").alias("row_id"),
         F.col("vec").cast("array<float>").alias("vec"),
@@ -86,7 +102,10 @@ def views_roundtrip(spark, sf_dir):
     )
     path = scratch_path(spark, "views")
     stored_views.write_views(rows, path)
-    back = stored_views.read_views(spark, path, dataset="embeddings", experts=["view_2", "view_5"])
+    return path
+
+
+def _totals(back):
     return back.select(
         "dataset", "split", "expert", "row_id", F.size("vec").alias("width"), r6(V.array_sum(F.col("vec"))).alias("total")
     )
@@ -103,7 +122,8 @@ def views_concat_bucketed(spark, sf_dir):
     """The same over a table bucketed by row: the grouping reads it without a shuffle."""
     path = scratch_path(spark, "bucketed")
     name = path.rsplit("/", 1)[-1].replace("-", "_")
-    rows = stored_views.save_bucketed(long_views(spark, sf_dir), name, path, BUCKETS, "vec_id")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as many as the shuffle they replace
+    rows = stored_views.save_bucketed(long_views(spark, sf_dir), name, path, buckets, "vec_id")
     return spread(views.concat_views(rows, len(WIDTHS), ["vec_id"]), "wide", "v", "vec_id")
 
 

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Texts are costly per byte: smaller splits than the default of 128 MB keep more cores busy on a scan.
+    "spark.sql.files.maxPartitionBytes": "32m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Wide representation vectors: bound a Python batch by bytes, not only by rows.
@@ -73,15 +75,5 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """``df`` cut by ``key`` when it comes in far fewer pieces than there are cores.
-
-    For costly row-local work on a table of few large row groups.  A table with
-    enough pieces, as any large one has, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *key) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

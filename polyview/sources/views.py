@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from polyview.operators.views import checked_widths
 from polyview.schema import VIEW
 
 LAYOUT = ("dataset", "expert", "split")
@@ -31,8 +32,12 @@ def save_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: str =
 
 
 def read_views(spark: SparkSession, path: str, dataset: str | None = None, split: str | None = None,
-               experts: Sequence[str] | None = None) -> DataFrame:
-    """Vectors as doubles; the arguments prune folders before anything is read."""
+               experts: Sequence[str] | None = None, check: bool = False) -> DataFrame:
+    """Vectors as doubles; the arguments prune folders before anything is read.
+
+    ``check`` first measures the widths of what is left: an expert with vectors of
+    several widths is an error.
+    """
     views = spark.read.schema(VIEW).parquet(path)
     if dataset is not None:
         views = views.where(F.col("dataset") == dataset)
@@ -40,6 +45,8 @@ def read_views(spark: SparkSession, path: str, dataset: str | None = None, split
         views = views.where(F.col("split") == split)
     if experts is not None:
         views = views.where(F.col("expert").isin(*experts))
+    if check:
+        checked_widths(views, ("dataset", "expert"))
     return views.withColumn("vec", F.col("vec").cast("array<double>"))
 
 

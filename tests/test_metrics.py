@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from polyview.operators import metrics
@@ -90,3 +91,26 @@ def test_losses_weigh_a_short_last_batch(spark):
     df = spark.createDataFrame(rows, "batch_id long, lp array<double>, y int")
     row = metrics.losses(df, "lp", "y").first()
     assert row["loss_row_mean"] == pytest.approx(3.0) and row["loss_batch_mean"] == pytest.approx(3.75)
+
+
+def test_a_missing_prediction_is_wrong_everywhere(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", None), ("b", "b")], "y string, p string")
+    row = metrics.scores(df, "y", "p", ["a", "b"]).first()
+    assert metrics.accuracy(df, "y", "p").first()[0] == pytest.approx(2 / 3) == row["accuracy"]
+    assert row["f1_macro_seen"] == row["f1_macro_fixed"] == pytest.approx((2 / 3 + 1) / 2)
+    assert row["f1_micro"] == pytest.approx(4 / 5)
+    assert {r["label"] for r in metrics.class_report(df, "y", "p").collect()} == {"a", "b"}
+    assert metrics.confusion(df, "y", "p", ["a", "b"]).agg(F.sum("n")).first()[0] == 2
+
+
+def test_a_missing_truth_is_an_error(spark):
+    df = spark.createDataFrame([("a", "a"), (None, "a")], "y string, p string")
+    for frame in (metrics.accuracy(df, "y", "p"), metrics.scores(df, "y", "p", ["a"])):
+        with pytest.raises(PySparkException, match="a row has no y"):
+            frame.collect()
+
+
+def test_a_label_out_of_range_has_no_loss(spark):
+    df = spark.createDataFrame([(0, [-1.0, -2.0], 0), (0, [-1.0, -2.0], 5)], "batch_id long, lp array<double>, y int")
+    with pytest.raises(PySparkException, match="label out of range: 5"):
+        metrics.losses(df, "lp", "y").collect()

@@ -42,8 +42,6 @@ def test_row_local_queries_have_no_shuffle(plans, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES)))
 def test_no_cross_joins(plans, name):
-    if name in {"expert_logreg", "expert_eval", "mixture_calibrate", "stream_score", "stream_routed"}:
-        pytest.skip("fits or streams eagerly; covered elsewhere")
     text = plans(name)
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
 

@@ -143,10 +143,10 @@ def test_long_and_wide_decisions_agree(spark, many):
             assert d["expert"] == expert and abs(d["h"] - h) < 1e-9 and np.allclose(d["lp"], lp)
 
 
-def test_model_guards(spark, monkeypatch):
+def test_model_guards(spark):
     df = spark.createDataFrame([([1.0, 2.0], 0), ([0.0, 1.0], 1)], "v array<double>, y int")
-    with pytest.raises(ValueError, match="without training rows"):
-        experts.fit_centroids(df, "v", "y", [2], 3, 1.0)
+    with pytest.raises(ValueError, match="no training rows"):
+        experts.fit_centroids(df.limit(0), "v", "y", [2], 3, 1.0)
     with pytest.raises(PySparkException, match="label out of range"):
         experts.fit_centroids(df, "v", "y", [2], 1, 1.0)
     with pytest.raises(ValueError, match="widths say"):
@@ -155,9 +155,34 @@ def test_model_guards(spark, monkeypatch):
     ragged = spark.createDataFrame([([1.0],)], "v array<double>")
     with pytest.raises(PySparkException, match="must hold 2 numbers"):
         ragged.select(model.scores(F.col("v"))).collect()
-    monkeypatch.setattr(experts, "MAX_MODEL_CELLS", 3)
-    with pytest.raises(ValueError, match="over the limit"):
-        experts.fit_centroids(df, "v", "y", [2], 2, 1.0)
+    for bad in ([1.0, None], [1.0, float("nan")]):
+        with pytest.raises(PySparkException, match="NULL or NaN"):
+            spark.createDataFrame([(bad,)], "v array<double>").select(model.scores(F.col("v"))).collect()
+
+
+def test_a_class_without_rows_is_never_predicted(spark):
+    df = spark.createDataFrame([([1.0, 2.0], 0), ([0.0, 1.0], 2)], "v array<double>, y int")
+    model = experts.fit_centroids(df, "v", "y", [2], 3, 1.0)
+    rows = experts.with_decisions(df, model, "v").select("y", "decisions").collect()
+    for r in rows:
+        lp = r["decisions"][0]["lp"]
+        assert lp[1] == float("-inf") and max(range(3), key=lambda c: lp[c]) == r["y"] and r["decisions"][0]["h"] >= 0
+
+
+def test_scores_do_not_depend_on_the_slice(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist(), i % 2) for i in range(50)], "id int, v array<double>, y int")
+    model = experts.fit_centroids(df, "v", "y", [2, 2], 2, 1.0)
+    scored = lambda: df.withColumn("z", model.scores(F.col("v"))).orderBy("id").select("z").collect()
+    whole = scored()
+    monkeypatch.setattr(experts, "SLICE_CELLS", 13)
+    assert scored() == whole
+
+
+def test_a_label_without_a_class_is_an_error(spark):
+    df = spark.createDataFrame([([-1.0, -2.0], 0), ([-1.0, -2.0], 7)], "lp array<double>, y int")
+    with pytest.raises(PySparkException, match="label out of range: 7"):
+        df.select(V.nll(F.col("lp"), F.col("y"))).collect()
 
 
 def test_logistic_expert(spark):

@@ -1,10 +1,13 @@
+import os
+
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from polyview.functions import batched
 from polyview.operators import sets, views
 from polyview.schema import EXPERT_COUNTS
-from polyview.session import scratch_root, spread, stored
+from polyview.session import clean_scratch, scratch_root, stored
 from polyview.sources import jsonl, reports, registry, views as stored_views
 from tests.helpers import plan
 
@@ -74,9 +77,26 @@ def test_squeeze_drops_unit_dimensions(spark):
     assert df.select(stored_views.squeeze("v", 2)).first()[0] == [1.0, 2.0]
 
 
-def test_concat_leaves_out_rows_that_miss_an_expert(spark):
-    df = spark.createDataFrame([(1, 1, [3.0]), (1, 0, [1.0, 2.0]), (2, 0, [9.0, 9.0])], "row_id long, expert int, vec array<double>")
-    assert [tuple(r) for r in views.concat_views(df, 2).collect()] == [(1, [1.0, 2.0, 3.0])]
+def test_concat_needs_each_expert_once(spark):
+    kinds = "row_id long, expert int, vec array<double>"
+    rows = [(1, 1, [3.0]), (1, 0, [1.0, 2.0])]
+    assert [tuple(r) for r in views.concat_views(spark.createDataFrame(rows, kinds), 2).collect()] == [(1, [1.0, 2.0, 3.0])]
+    for bad in ([(2, 0, [9.0])], [(2, 0, [1.0]), (2, 0, [9.0])]):
+        with pytest.raises(PySparkException, match="each expert once"):
+            views.concat_views(spark.createDataFrame(rows + bad, kinds), 2).collect()
+
+
+def test_ragged_views_fail_at_the_scan(spark, tmp_path):
+    rows = [("d", "e0", "train", i, [1.0] * (2 if i < 3 else n)) for n in (2, 3) for i in range(4)]
+    for n, part in ((2, rows[:4]), (3, rows[4:])):
+        path = str(tmp_path / str(n))
+        frame = spark.createDataFrame(part, "dataset string, expert string, split string, row_id long, vec array<float>")
+        stored_views.write_views(frame, path)
+        if n == 2:
+            assert stored_views.read_views(spark, path, check=True).count() == 4
+        else:
+            with pytest.raises(ValueError, match="several widths"):
+                stored_views.read_views(spark, path, check=True)
 
 
 def test_metrics_and_report(spark, tmp_path):
@@ -117,14 +137,27 @@ def test_batched_map(spark):
     assert got.agg(F.sum("id")).first()[0] == 9900
 
 
-def test_stored_and_spread(spark):
-    df = spread(spark.range(100).coalesce(1), "id")
-    assert df.rdd.getNumPartitions() == 4
-    assert spread(df, "id") is df
-    back = stored(df)
+def test_stored(spark):
+    back = stored(spark.range(100))
     assert back.count() == 100 and scratch_root(spark) in back.inputFiles()[0]
 
 
+def test_scratch_is_removed(spark, monkeypatch):
+    from polyview import session
+
+    monkeypatch.setattr(session, "_written", [])
+    back = stored(spark.range(5))
+    folder = back.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    clean_scratch(spark)
+    assert not os.path.exists(folder)
+
+
+def test_union_of_splits_keeps_every_row(spark):
+    df = spark.createDataFrame([(1, "train"), (2, None), (3, "odd")], "x long, split string")
+    assert sorted(map(str, sets.union_splits(df).collect())) == sorted(map(str, df.select("split", "x").collect()))
+
+
 def test_worker_functions_travel_without_the_package(tmp_path):
     """Executors do not have this package on their path."""
     import subprocess

@@ -1,8 +1,8 @@
+import hashlib
 import math
 from collections import Counter
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
@@ -49,9 +49,8 @@ def test_encode_round_trip(docs):
     counts = tokens.token_counts(docs, "words")
     vocab = tokens.vocabulary(counts)
     back = {r["token_id"]: r["token"] for r in vocab.collect()}
-    for given, small in ((None, 0), (counts, 0), (None, 1000)):
-        rows = tokens.encode(docs, "doc_id", "words", vocab, given, small).orderBy("doc_id").collect()
-        assert [[back[i] for i in r["input_ids"]] for r in rows] == [words(t) for t in TEXTS]
+    rows = tokens.encode(docs, "doc_id", "words", vocab).orderBy("doc_id").collect()
+    assert [[back[i] for i in r["input_ids"]] for r in rows] == [words(t) for t in TEXTS]
 
 
 def test_unknown_words_share_one_id(docs):
@@ -61,43 +60,28 @@ def test_unknown_words_share_one_id(docs):
     assert rows[2]["input_ids"] == []
 
 
-@pytest.mark.parametrize("max_hot", [1, 3, 50, 10_000])
-def test_skew_safe_join_keeps_every_row(spark, max_hot):
-    """A known and an unknown key hold most of the facts; the result is that of a plain join."""
-    facts = spark.range(3000).select(
-        "id",
-        F.when(F.col("id") < 1200, "hot")
-        .when(F.col("id") < 2400, "unseen")
-        .otherwise(F.concat(F.lit("k"), F.col("id") % 97))
-        .alias("key"),
-    )
-    table = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 97, 2)], "key string, v int")
-    got = tokens.skew_safe_join(facts, table, "key", max_hot=max_hot, max_small=0).select("id", "key", "v").collect()
-    want = facts.join(table, "key", "left").select("id", "key", "v").collect()
-    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 3000
-
-
-def test_hot_keys_are_bounded_and_joins_are_keyed(docs):
-    table = tokens.token_counts(docs, "words")
-    facts = tokens.explode_tokens(docs, "doc_id", "words")
-    for small in (0, 1000):
-        text = plan(tokens.skew_safe_join(facts, table, "token", max_small=small))
-        assert "CartesianProduct" not in text and "NestedLoop" not in text
-        assert ("Union" in text) == (small == 0)
+def test_distinct_tokens_keep_every_position(docs):
+    rows = tokens.distinct_tokens(docs, "doc_id", "words").collect()
+    assert len({(r["doc_id"], r["token"]) for r in rows}) == len(rows)
+    placed = {(r["doc_id"], p): r["token"] for r in rows for p in r["positions"]}
+    assert placed == {(i, p): w for i, t in enumerate(TEXTS) for p, w in enumerate(words(t))}
 
 
-def test_only_a_small_table_is_broadcast_whole(spark, monkeypatch):
-    table = spark.createDataFrame([("a" * 40, 1), ("b" * 40, 2)], "key string, v int")
-    assert tokens._is_small(table, "key", 2) and not tokens._is_small(table, "key", 1)
-    monkeypatch.setattr(tokens, "MAX_SMALL_BYTES", 79)
-    assert not tokens._is_small(table, "key", 2)
-    assert tokens._is_small(table.where("v > 9"), "key", 0)
+def test_joins_carry_distinct_tokens_and_are_keyed(docs):
+    vocab = tokens.vocabulary(tokens.token_counts(docs, "words"))
+    text = plan(tokens.encode(docs, "doc_id", "words", vocab))
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+    assert "Generate" not in text.split("MapInArrow")[0]  # no row per occurrence above the gathering step
 
 
-def test_too_many_token_ids_are_refused(spark, docs):
-    vocab = spark.createDataFrame([("the", 2**32)], "token string, token_id long")
-    with pytest.raises(PySparkException, match="32 bits"):
-        tokens.encode(docs, "doc_id", "words", vocab).collect()
+def test_null_texts_stay(spark):
+    rows = spark.createDataFrame([(0, "a b a"), (1, None)], "doc_id long, text string").select("doc_id", X.tokens(F.col("text")).alias("words"))
+    vocab = spark.createDataFrame([("a", 2**40)], "token string, token_id long")
+    got = {r["doc_id"]: r["input_ids"] for r in tokens.encode(rows, "doc_id", "words", vocab).collect()}
+    assert got == {0: [2**40, tokens.UNKNOWN_ID, 2**40], 1: []}
+    weights = spark.createDataFrame([("a", [0.5, 1.0])], "token string, w array<double>")
+    means = {r["doc_id"]: (r["s_0"], r["s_1"]) for r in tokens.mean_log_odds(rows, "doc_id", "words", weights, 2).collect()}
+    assert means[1] == (0.0, 0.0) and means[0] == pytest.approx((1 / 3, 2 / 3))
 
 
 def test_log_odds_by_hand(spark, docs):
@@ -114,13 +98,11 @@ def test_log_odds_by_hand(spark, docs):
 
     assert all(table[w] == pytest.approx([odds(w, 0), odds(w, 1)]) for w in table)
     fitted = tokens.log_odds(train, "words", "y", 2)
-    for small in (0, 1000):
-        rows = tokens.mean_log_odds(docs, "doc_id", "words", fitted, 2, max_small=small).collect()
-        means = {r["doc_id"]: (r["s_0"], r["s_1"]) for r in rows}
-        assert means.keys() == set(range(6)) and means[2] == (0.0, 0.0)
-        for i in (0, 1, 3, 4, 5):
-            ws = words(TEXTS[i])
-            assert means[i][0] == pytest.approx(sum(odds(w, 0) for w in ws) / len(ws))
+    means = {r["doc_id"]: (r["s_0"], r["s_1"]) for r in tokens.mean_log_odds(docs, "doc_id", "words", fitted, 2).collect()}
+    assert means.keys() == set(range(6)) and means[2] == (0.0, 0.0)
+    for i in (0, 1, 3, 4, 5):
+        ws = words(TEXTS[i])
+        assert means[i][0] == pytest.approx(sum(odds(w, 0) for w in ws) / len(ws))
 
 
 def test_hashed_tf_idf_by_hand(docs):
@@ -134,7 +116,14 @@ def test_hashed_tf_idf_by_hand(docs):
         for bucket, n in counts.items():
             df = sum(bucket in other for other in found)
             want[bucket] = n * math.log((len(TEXTS) + 1) / (df + 1))
-        assert got[i] == pytest.approx(want)
+        assert list(got[i].toArray()) == pytest.approx(want)
+    buckets = dict(docs.select(F.explode("words").alias("w")).select("w", tokens.bucket_of(F.col("w"), 64)).distinct().collect())
+    assert buckets["the"] == int(hashlib.md5(b"the").hexdigest()[:8], 16) % 64
+    sparse = {(r["doc_id"], r["pos"]): r["v"] for r in tokens.sparse_tf_idf(docs, "doc_id", "words", 64).collect()}
+    found = [Counter(buckets[w] for w in words(t)) for t in TEXTS]
+    assert sparse == pytest.approx({
+        (i, b): n * math.log((len(TEXTS) + 1) / (sum(b in other for other in found) + 1)) for i, counts in enumerate(found) for b, n in counts.items()
+    })
 
 
 def test_numeric_and_event_features(spark):
