@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from polyview.operators import metrics
 from polyview.plans.base import q6, query, r6, table
-from polyview.plans.routing import METRICS_SQL, scores_sql
+from polyview.plans.routing import METRICS_SQL, scores_sql, whole_sql
 from polyview.session import scratch_path, stored
 from polyview.sources import reports
 
@@ -105,16 +105,17 @@ f1_weighted = _one("f1_weighted", "f1_weighted")
 
 @query(
     "pass_metrics",
-    f"""WITH {ROWS_SQL}, {scores_sql('rows', 'l_linenumber', n_labels=3)}
-    SELECT l_linenumber - 1 AS pass, {METRICS_SQL}, {q6("(SELECT f1 FROM f1s f WHERE f.l_linenumber = m.l_linenumber AND f.label = 'A')")} AS f1_A,
+    f"""WITH {ROWS_SQL}, {scores_sql('rows', 'l_linenumber', n_labels=3)}, {whole_sql('l_linenumber')}
+    SELECT l_linenumber - 1 AS pass, report, matrix, {METRICS_SQL}, {q6("(SELECT f1 FROM f1s f WHERE f.l_linenumber = m.l_linenumber AND f.label = 'A')")} AS f1_A,
            {q6("(SELECT f1 FROM f1s f WHERE f.l_linenumber = m.l_linenumber AND f.label = 'N')")} AS f1_N,
            {q6("coalesce((SELECT f1 FROM f1s f WHERE f.l_linenumber = m.l_linenumber AND f.label = 'R'), 0)")} AS f1_R
-    FROM metric m""",
+    FROM metric m JOIN report_text USING (l_linenumber) JOIN matrix_text USING (l_linenumber)""",
 )
 def pass_metrics(spark, sf_dir):
     rows = outcomes(spark, sf_dir, (F.col("l_linenumber") - 1).alias("pass"))
-    scores = metrics.scores(rows, "y", "pred", LABELS, ["pass"])
-    return _rounded(scores, *[c for c in scores.columns if c != "pass"])
+    counted = stored(metrics.pair_counts(rows, "y", "pred", ["pass"]), "pairs")  # labels**2 rows per pass, one scan
+    whole = reports.whole_rows(counted, LABELS, ["pass"])
+    return _rounded(whole, *[c for c in whole.columns if c not in ("pass", "report", "matrix")])
 
 
 @query(

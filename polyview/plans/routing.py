@@ -11,6 +11,8 @@ from polyview.operators.labels import ablation_dimensions
 from polyview.plans.base import q6, query, r6, table
 from polyview.plans.vectors import CATALOG, DIMENSION_SQL, WIDTHS
 from polyview.schema import ABLATIONS, GATE_BATCH, SPLIT_SEED
+from polyview.session import stored
+from polyview.sources import reports
 
 N_EXPERTS, N_CLASSES, K, SHARPNESS = 8, 10, 3, 50.0
 LABELS = list(range(N_CLASSES))
@@ -366,8 +368,32 @@ pairs AS (SELECT {keys}, {truth} AS t, {pred} AS p, count(*) AS n FROM {rows} GR
 )"""
 
 
+def whole_sql(keys: str) -> str:
+    """CTEs from those of ``scores_sql`` to ``report_text`` and ``matrix_text`` per key."""
+    fields = [f"lpad(printf('%.5f', {c}::DOUBLE), 9, ' ')" for c in ("precision", "recall", "f1")]
+    line = f"lpad(label, 12, ' ') || '  ' || {" || ' ' || ".join(fields)} || ' ' || lpad(support::VARCHAR, 9, ' ')"
+    return f"""
+class_lines AS (
+  SELECT {keys}, label::VARCHAR AS label, CASE WHEN predicted > 0 THEN hit / predicted ELSE 0 END AS precision,
+         CASE WHEN support > 0 THEN hit / support ELSE 0 END AS recall, f1, support FROM f1s
+), all_lines AS (
+  SELECT {keys}, 0 AS part, label, precision, recall, f1, support FROM class_lines
+  UNION ALL SELECT {keys}, 1, 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM class_lines GROUP BY {keys}
+  UNION ALL SELECT {keys}, 2, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                   sum(f1 * support) / sum(support), sum(support) FROM class_lines GROUP BY {keys}
+), report_text AS (SELECT {keys}, string_agg({line}, chr(10) ORDER BY part, label) AS report FROM all_lines GROUP BY {keys}
+), matrix_lines AS (
+  SELECT k.{keys}, t.label AS t, '[' || string_agg(coalesce(n, 0)::VARCHAR, ' ' ORDER BY p.label) || ']' AS line
+  FROM (SELECT DISTINCT {keys} FROM pairs) k CROSS JOIN (SELECT DISTINCT label FROM totals) t CROSS JOIN (SELECT DISTINCT label FROM totals) p
+  LEFT JOIN pairs x ON x.{keys} = k.{keys} AND x.t = t.label AND x.p = p.label GROUP BY 1, 2
+), matrix_text AS (SELECT {keys}, string_agg(line, chr(10) ORDER BY t) AS matrix FROM matrix_lines GROUP BY {keys})"""
+
+
 METRICS = ["accuracy", "f1_macro_seen", "f1_macro_fixed", "f1_micro", "f1_weighted"]
 METRICS_SQL = ", ".join(f"{q6(m)} AS {m}" for m in METRICS)
+CLASS_F1_SQL = ", ".join(
+    q6(f"coalesce((SELECT f1 FROM f1s f WHERE f.expert = m.expert AND f.label = {c}), 0)") + f" AS f1_{c}" for c in range(N_CLASSES)
+)
 
 
 def rounded(scores, *keys):
@@ -379,13 +405,16 @@ def rounded(scores, *keys):
     f"""WITH {BASE_SQL}, preds AS (
       SELECT vec_id, y, expert, class AS pred FROM lp WHERE split = 'test'
       QUALIFY row_number() OVER (PARTITION BY vec_id, expert ORDER BY lp DESC, class) = 1
-    ), {scores_sql('preds', 'expert')}
-    SELECT expert, 'view_' || expert AS name, {METRICS_SQL} FROM metric""",
+    ), {scores_sql('preds', 'expert')}, {whole_sql('expert')}
+    SELECT expert, 'view_' || expert AS name, {METRICS_SQL}, {CLASS_F1_SQL}, report, matrix
+    FROM metric m JOIN report_text USING (expert) JOIN matrix_text USING (expert)""",
 )
 def expert_leaderboard(spark, sf_dir):
     rows = expert_rows(decided(spark, sf_dir, test_only=True)).select("y", "expert", V.argmax(F.col("lp")).alias("pred"))
-    scores = metrics.scores(rows, "y", "pred", LABELS, ["expert"], per_class=False)
-    return rounded(views.name_experts(scores, CATALOG), "expert", "name")
+    counted = stored(metrics.pair_counts(rows, "y", "pred", ["expert"]), "pairs")  # labels**2 rows per expert
+    whole = views.name_experts(reports.whole_rows(counted, LABELS, ["expert"]), CATALOG)
+    numbers = METRICS + [f"f1_{label}" for label in LABELS]
+    return whole.select("expert", "name", *[r6(F.col(c)).alias(c) for c in numbers], "report", "matrix")
 
 
 def _ablated_sql() -> str:

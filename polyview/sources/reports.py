@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from polyview.operators import metrics
+
 # The first line of the report.
 HEADLINE = "Acc: %.5f. F1 macro: %.5f. F1 micro: %.5f. F1 weighted: %.5f."
 
@@ -53,6 +55,25 @@ def report_lines(scores: DataFrame, averages: DataFrame, matrix: DataFrame, labe
     return headline(scores).select(F.lit(0).alias("line"), "value").unionByName(rows).unionByName(grid)
 
 
+def whole_rows(counted: DataFrame, labels: Sequence, keys: Sequence[str], truth: str = "truth", pred: str = "pred",
+               weight: str = "n") -> DataFrame:
+    """One row per key: all scores, F1 per class, the report text and the matrix, lines joined by line feeds.
+
+    ``counted`` has one row per key, truth and prediction, so each of the three parts reads a few rows.
+    """
+    scores = metrics.scores(counted, truth, pred, labels, keys, weight=weight)
+    names = F.array(*[F.lit(n) for n in (*map(str, labels), *AVERAGE_ROWS)])
+    averages = metrics.class_report_averages(metrics.class_report(counted, truth, pred, labels, keys, weight), keys)
+    line = F.format_string(CLASS_ROW, "label", "precision", "recall", "f1", "support")
+    place = F.array_position(names, F.col("label"))
+    in_order = lambda parts: F.array_join(F.transform(F.array_sort(F.collect_list(parts)), lambda x: x["line"]), "\n")
+    report = averages.groupBy(*keys).agg(in_order(F.struct(place.alias("place"), line.alias("line"))).alias("report"))
+    cells = metrics.confusion_rows(metrics.confusion(counted, truth, pred, labels, keys, weight), keys)
+    row = F.concat(F.lit("["), F.array_join(F.col("counts").cast("array<string>"), " "), F.lit("]"))
+    matrix = cells.groupBy(*keys).agg(in_order(F.struct("truth", row.alias("line"))).alias("matrix"))
+    return scores.join(report, list(keys)).join(matrix, list(keys))
+
+
 def write_report(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One text file; lines that carry a ``line`` number are put in order."""
     ordered = lines.coalesce(1).sortWithinPartitions("line") if "line" in lines.columns else lines
