@@ -33,6 +33,11 @@ def attention_mask(real: Column, length: Column) -> Column:
     )
 
 
+def segment_ids(*lengths: Column) -> Column:
+    """0 for each position of the first sequence, 1 for each of the second, and so on."""
+    return F.concat(*[F.array_repeat(F.lit(n), length.cast("int")) for n, length in enumerate(lengths)])
+
+
 def numeric_features(text: Column) -> dict[str, Column]:
     """Numbers, percentages, digits and their share of the characters."""
     digits = F.regexp_count(text, F.lit("[0-9]"))

@@ -55,6 +55,22 @@ def tokenise_truncate(spark, sf_dir):
     )
 
 
+@query(
+    "segment_ids",
+    f"""WITH {WORDED_SQL} SELECT doc_id, repeat('0', len(words)) AS alone,
+        repeat('0', len(words)) || repeat('1', length(lang)) AS paired FROM (SELECT doc_id, lang, words FROM worded JOIN documents USING (doc_id))""",
+)
+def segment_ids(spark, sf_dir):
+    """Segments of a text alone, and of a text followed by a second sequence (here one position per letter of its language)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(X.tokens(F.col("text"))).alias("n"), F.length("lang").alias("m"))
+    printed = lambda ids: F.array_join(ids.cast("array<string>"), "")
+    return docs.select(
+        "doc_id",
+        printed(X.segment_ids(F.col("n"))).alias("alone"),
+        printed(X.segment_ids(F.col("n"), F.col("m"))).alias("paired"),
+    )
+
+
 VOCAB_SQL = f"""{WORDED_SQL}, occurrences AS (
   SELECT doc_id, unnest(words) AS token, generate_subscripts(words, 1) AS pos FROM worded
 ), counts AS (SELECT token, count(*) AS n FROM occurrences GROUP BY 1
@@ -318,6 +334,27 @@ def expert_logreg(spark, sf_dir):
     return rows.select("doc_id", "y", "expert", V.argmax(F.col("lp")).alias("pred"), r6(F.array_max("lp")).alias("lp"))
 
 
+@query(
+    "expert_fit_check",
+    f"""WITH {ODDS_SQL} SELECT e::INTEGER AS expert, count(*) FILTER (r > ceil(total * 0.2::DOUBLE)) AS n_train,
+        count(*) FILTER (r <= ceil(total * 0.2::DOUBLE)) AS n_test, true AS beats_prior
+    FROM numbered, range({len(DIMENSIONS)}) AS t(e) GROUP BY 1""",
+)
+def expert_fit_check(spark, sf_dir):
+    """Rows of each fit, and whether its loss on them is no worse than that of the class shares alone."""
+    rows = learned_rows(spark, sf_dir)
+    train = F.col("split") == "train"
+    per_class = rows.groupBy("expert", "y").agg(
+        F.count(F.when(train, 1)).alias("n"), F.count(F.when(~train, 1)).alias("m"), F.sum(F.when(train, V.nll(F.col("lp"), F.col("y")))).alias("nll")
+    )
+    sums = per_class.groupBy("expert").agg(
+        F.sum("n").alias("n_train"), F.sum("m").alias("n_test"), F.sum("nll").alias("nll"),
+        F.sum(F.when(F.col("n") > 0, F.col("n") * F.ln("n"))).alias("own"),
+    )
+    prior = F.col("n_train") * F.ln("n_train") - F.col("own")
+    return sums.select("expert", "n_train", "n_test", (F.col("nll") <= prior + 1e-6).alias("beats_prior"))
+
+
 @query("expert_eval")
 def expert_eval(spark, sf_dir):
     rows = learned_rows(spark, sf_dir).where(F.col("split") == "test")

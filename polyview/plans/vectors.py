@@ -140,6 +140,13 @@ def shape_summary(spark, sf_dir):
     return views.view_widths(rows, ["dataset", "expert", "split"])
 
 
+@query("squeeze_units", f"WITH {LONG_SQL} SELECT vec_id, expert, pos, {q6('v')} AS v FROM long")
+def squeeze_units(spark, sf_dir):
+    """Vectors that come with unit dimensions around them."""
+    rows = long_views(spark, sf_dir).withColumn("nested", F.array(F.array("vec")))
+    return spread(rows.withColumn("vec", stored_views.squeeze("nested", 2)), "vec", "v", "vec_id", "expert")
+
+
 @query("views_split", f"WITH {LONG_SQL} SELECT vec_id, expert, pos, {q6('v')} AS v FROM long")
 def views_split(spark, sf_dir):
     widths = views.view_widths(long_views(spark, sf_dir)).select("expert", "width")
