@@ -80,6 +80,9 @@ def _anchors(window: int, seed: int):
             head[1:] = value[1:] != value[:-1]
             group = np.cumsum(head) - 1
             shared = np.bincount(group, minlength=1)[group] > 1 if len(group) else head
+            # document by document again: neighbours with equal ids cost little in the shuffle
+            order = np.argsort(row, kind="stable")
+            row, value, shared, head = row[order], value[order], shared[order], head[order]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id").take(pa.array(row)), batch.column("_key").take(pa.array(row)),
                  pa.array(value.view(np.int64)), pa.array(shared), pa.array(head)],
@@ -138,25 +141,37 @@ def _windows(window: int, seed: int):
             head[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
             lead = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
             later = np.flatnonzero((ids != ids[lead]) | (keys != keys[lead]) | (start != start[lead]))
+            # document by document again: neighbours with equal ids cost little in the shuffle
             lone = np.flatnonzero(head)
-            yield _places(ids[lone], keys[lone], np.ones(len(lone), np.int64), start[lone], h1[lone], h2[lone])
+            lone = lone[np.argsort(row[lone], kind="stable")]
+            yield _open_places(ids[lone], keys[lone], start[lone], h1[lone], h2[lone])
             later = later[np.argsort(row[later], kind="stable")]
             owner, counts = np.unique(row[later], return_counts=True)
             whose = pa.array(owner)
-            yield _places(batch.column("_id").take(whose), batch.column("_key").take(whose), counts, start[later], None, None)
+            yield _settled_places(batch.column("_id").take(whose), batch.column("_key").take(whose), counts, start[later])
 
     return run
 
 
-def _places(ids, keys, counts, starts, h1, h2) -> pa.RecordBatch:
-    """Places of windows: with its hash if others may follow it, without if it is known to follow another."""
-    hashes = [pa.nulls(len(ids), pa.int64()) if h is None else pa.array(h.view(np.int64)) for h in (h1, h2)]
+def _open_places(ids, keys, starts, h1, h2) -> pa.RecordBatch:
+    """One place of a window that may start earlier elsewhere."""
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids), pa.array(keys), list_array(starts.astype(np.int32), counts, pa.int32()), *hashes],
-        ["_id", "_key", "_starts", "_h1", "_h2"],
+        [pa.array(ids), pa.array(keys), pa.array(starts.astype(np.int32)), pa.nulls(len(ids), pa.list_(pa.int32())),
+         pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], _PLACES
     )
 
 
+def _settled_places(ids, keys, counts, starts) -> pa.RecordBatch:
+    """All places in a document whose windows are known to start earlier."""
+    empty = pa.nulls(len(ids), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [ids, keys, pa.nulls(len(ids), pa.int32()), list_array(starts.astype(np.int32), counts, pa.int32()), empty, empty], _PLACES
+    )
+
+
+_PLACES = ["_id", "_key", "_start", "_starts", "_h1", "_h2"]
+
+
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -232,21 +247,20 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = searched.mapInArrow(_anchors(window, seed), "_id long, _key long, _anchor long, _shared boolean, _head boolean")
     # what a batch has settled is dealt out by document, so that it crowds nowhere
     deal = F.when(F.col("_head"), F.col("_anchor")).otherwise(F.xxhash64(*key))
-    met = F.count(F.lit(1)).over(Window.partitionBy("_head", "_deal"))
+    met = F.count(F.lit(1)).over(Window.partitionBy("_deal", "_head"))
     shared = found.withColumn("_deal", deal).withColumn("_met", met).where((F.col("_met") > 1) | F.col("_shared"))
     anchored = shared.groupBy(*key).agg(F.collect_set("_anchor").alias("_anchors"))
 
     nothing = F.array().cast("array<long>")
     seeded = searched.join(anchored.hint("shuffle_hash"), key, "left").withColumn("_anchors", F.coalesce("_anchors", nothing))
-    places = seeded.mapInArrow(_windows(window, seed), "_id long, _key long, _starts array<int>, _h1 long, _h2 long")
-    place = F.struct(*key, "_starts")
-    settled = F.col("_h1").isNull()
-    own = F.when(settled, F.xxhash64(*key)).otherwise(F.col("_h1")).alias("_deal")
-    least = F.min(place).over(Window.partitionBy("_settled", "_deal", "_h2"))
+    places = seeded.mapInArrow(_windows(window, seed), "_id long, _key long, _start int, _starts array<int>, _h1 long, _h2 long")
+    place = F.struct(*key, "_start")
+    settled = F.col("_start").isNull()
+    deal = F.when(settled, F.xxhash64(*key)).otherwise(F.col("_h1"))
+    least = F.min(place).over(Window.partitionBy("_h1", "_h2"))
     later = (
-        places.select("*", settled.alias("_settled"), own).withColumn("_least", least)
-        .where(F.col("_settled") | (place > F.col("_least")))
-        .groupBy(*key).agg(F.flatten(F.collect_list("_starts")).alias("_starts"))
+        places.withColumn("_h1", deal).withColumn("_least", least).where(settled | (place > F.col("_least")))
+        .groupBy(*key).agg(F.flatten(F.collect_list(F.coalesce("_starts", F.array("_start")))).alias("_starts"))
     )
 
     nowhere = F.array().cast("array<int>")
