@@ -64,15 +64,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that earlier documents have; a text of which nothing is left goes."""
-    cut = substring.substring_dedup(docs).where("n_removed > 0")
-    keyed, names = _keyed(docs, text_key(text_column("text")))
-    kept, = _names(docs, "__kept")
-    changed = cut.select(id_column("doc_id").alias(names[0]), F.col("text_key").alias(names[1]), F.col("kept_text").alias(kept))
-    joined = keyed.join(changed.groupBy(*names).agg(F.first(kept).alias(kept)), names, "left")
-    new = F.coalesce(F.col(kept), F.col("text"))
-    result = {"text": new, "n_chars": F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast("long"))}
-    left = joined.where(F.col(kept).isNull() | (F.col(kept) != ""))
-    return left.select(*[result.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    cut = substring.substring_dedup(docs, carry=True).where(F.col("kept_text").isNull() | (F.col("kept_text") != ""))
+    new = {
+        "text": F.coalesce("kept_text", "row.text"),
+        "n_chars": F.when(F.col("kept_text").isNull(), F.col("row.n_chars")).otherwise(F.length("kept_text").cast("long")),
+    }
+    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 NULL_ID = -(2**63)  # stands for a NULL id inside an operator: sorts first, like NULL
-SLICE_BYTES = 4 << 20  # text bytes that a worker turns into arrays at once
+SLICE_BYTES = 2 << 20  # text bytes that a worker turns into arrays at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,7 @@ def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches that workers get by bytes, unless the session already does."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:
-        spark.conf.set(key, "16m")
+        spark.conf.set(key, "8m")
 
 
 def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

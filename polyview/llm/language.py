@@ -75,7 +75,8 @@ def fit_text(labelled: DataFrame, text: str = "text", language: str = "lang", fi
 
     Fitted on a sample of about ``fit_rows`` labelled rows, chosen by a hash of the
     text; all of them if there are no more.  Only sums per language and bucket come
-    to the driver, at most ``MAX_LANGUAGES * BUCKETS``.
+    to the driver, at most ``MAX_LANGUAGES * BUCKETS``.  Without labelled rows no
+    language is known, and ``identify`` rejects every text.
     """
     rows = labelled.select(F.coalesce(F.col(f"`{language}`"), F.lit("")).alias("_lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     rows = rows.where((F.col("_lang") != "") & (F.col("_lang") != UND))

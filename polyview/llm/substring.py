@@ -31,13 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from polyview.llm.common import byte_column, given_id, id_text, list_array, slices, small_batches, text_key
+from polyview.llm.common import byte_column, given_id, id_column, list_array, slices, small_batches, text_column, text_key
 from polyview.llm.words import Words, find_words, grams, sliding_min, whole
 
 WINDOW = 20
 SEED = 12
+SHARES = 64  # shares into which the rows of one text are dealt
 HASHES = (101, 202)  # seeds of two independent word hashes
 U = np.uint64
 
@@ -172,7 +173,7 @@ def _settled_places(ids, keys, counts, starts) -> pa.RecordBatch:
 _PLACES = ["_id", "_key", "_start", "_starts", "_h1", "_h2"]
 
 
-def _cut(window: int):
+def _cut(window: int, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = _batch_words(batch)
@@ -206,8 +207,9 @@ def _cut(window: int):
                 digests.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), batch.column("_key"), pa.array(counts.astype(np.int64)), pa.array(removed, pa.int64()),
-                 pa.array(digests, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(spans, SPANS)],
-                ["_id", "_key", "n_words", "n_removed", "kept_sha256", "kept_text", "spans"],
+                 pa.array(digests, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(spans, SPANS),
+                 *(batch.column(c) for c in carried)],
+                ["_id", "_key", "n_words", "n_removed", "kept_sha256", "kept_text", "spans", *carried],
             )
 
     return run
@@ -220,7 +222,8 @@ _RESULT = (
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
+def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED,
+                    carry: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept_text, spans, text_key``: one row per input row.
 
     ``spans`` are the maximal repeats, as word positions ``[start, end)``;
@@ -229,20 +232,31 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     empty texts have no words.  A NULL id comes before all others; rows with equal
     ids are ordered by a hash of the text, and rows that repeat id and text are one
     document.  Texts shorter than ``window`` words are kept.  Other columns are not
-    read; an empty table gives an empty result.
+    read; an empty table gives an empty result.  With ``carry`` the whole input row
+    travels along and is returned as the struct ``row``.
     """
     if not 0 < seed < window:
         raise ValueError("a seed is shorter than a window")
     small_batches(docs.sparkSession)
     key = ["_id", "_key"]
-    rows = id_text(docs, doc_id, text).withColumn("_key", text_key(F.col("_text")))
+    rows = docs.select(
+        id_column(doc_id).alias("_id"), text_column(text).alias("_text"),
+        *[F.col(f"`{c}`").alias(f"_c{n}") for n, c in enumerate(docs.columns) if carry and c != text],
+        *([F.col(f"`{text}`").isNull().alias("_null")] if carry else []),
+    ).withColumn("_key", text_key(F.col("_text")))
+    carried = [c for c in rows.columns if c not in ("_id", "_key")] if carry else []
     digests = rows.select(*key, F.sha2("_text", 256).alias("_digest"))
-    originals = digests.groupBy("_digest").agg(F.min("_id").alias("_original"))
-    copies = digests.join(originals, "_digest").where("_id <> _original").select(*key).distinct().withColumn("_copy", F.lit(True))
+    # first among a share of a text's rows, then among the first of each share: no text crowds a task
+    share = F.pmod(F.xxhash64("_id"), F.lit(SHARES))
+    early = digests.withColumn("_first", F.min("_id").over(Window.partitionBy("_digest", share)))
+    heads = early.where("_id = _first").select(*key, "_digest").distinct()
+    late = heads.withColumn("_first", F.min("_id").over(Window.partitionBy("_digest"))).where("_id <> _first")
+    copies = early.where("_id <> _first").select(*key).unionByName(late.select(*key)).distinct().withColumn("_copy", F.lit(True))
     # one exchange of the texts by document serves all three joins
     dealt = rows.repartition(*key)
     marked = dealt.join(copies.hint("shuffle_hash"), key, "left").withColumn("_copy", F.coalesce("_copy", F.lit(False)))
-    searched = marked.where(~F.col("_copy")).select(*key, "_text")
+    # every branch takes the same columns, else the exchange would not be shared
+    searched = marked.where(~F.col("_copy")).drop("_copy")
 
     found = searched.mapInArrow(_anchors(window, seed), "_id long, _key long, _anchor long, _shared boolean, _head boolean")
     # what a batch has settled is dealt out by document, so that it crowds nowhere
@@ -265,6 +279,11 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     nowhere = F.array().cast("array<int>")
     last = marked.join(later.hint("shuffle_hash"), key, "left").withColumn("_starts", F.coalesce("_starts", nowhere))
-    return last.mapInArrow(_cut(window), _RESULT).select(
-        given_id().alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text", "spans", F.col("_key").alias("text_key")
+    schema = T.StructType([*T.StructType.fromDDL(_RESULT).fields, *[rows.schema[c] for c in carried]])
+    cut = last.mapInArrow(_cut(window, carried), schema)
+    given_text = F.when(~F.col("_null"), F.col("_text")) if carry else None
+    row = [(given_text if c == text else F.col(f"_c{n}")).alias(c) for n, c in enumerate(docs.columns) if carry]
+    return cut.select(
+        given_id().alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text", "spans", F.col("_key").alias("text_key"),
+        *([F.struct(*row).alias("row")] if carry else []),
     )

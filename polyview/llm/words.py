@@ -16,7 +16,7 @@ from polyview.llm.common import process_state
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-SEGMENT = 1 << 20  # bytes hashed at once
+SEGMENT = 1 << 18  # bytes hashed at once
 U = np.uint64
 
 
