@@ -9,37 +9,60 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable
+import struct
+from collections.abc import Callable, Iterator, Sequence
+from operator import attrgetter
 
-import numpy as np
 import regex
 
-CHUNKS = 1 << 20  # chunks that one worker remembers
+CHUNKS = 1 << 19  # chunks that one worker remembers
+IDS = attrgetter("id")
 LONGEST = 64  # bytes of a chunk worth remembering
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def packed(ids: Iterable[int]) -> bytes:
+def packed(ids: Sequence[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return np.fromiter(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Remembered(dict):
-    """``key -> make(key)``, bounded: when full it starts anew, and frequent keys come back first."""
+    """``key -> make(key)`` for about the last ``limit`` distinct keys.
+
+    Keys live in two halves.  When the new half is full it becomes the old one, and
+    what is asked for again moves back; the rest goes at the next change.
+    """
 
     def __init__(self, make: Callable[[bytes], bytes], limit: int = CHUNKS):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.half, self.old = make, max(1, limit // 2), {}
 
     def __missing__(self, key: bytes) -> bytes:
-        value = self.make(key)
-        if len(key) <= LONGEST:
-            if len(self) >= self.limit:
-                self.clear()
-            self[key] = value
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > LONGEST:
+                return value
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
+BLOCK = 1 << 20  # bytes of a text that are cut into chunks at once
+CUT = re.compile(rb"(?<=[!-~]) (?=[!-~])")
+
+
+def blocks(text: bytes) -> Iterator[bytes]:
+    """A long text in blocks that begin with a single space between two printable characters."""
+    at = 0
+    while len(text) - at > BLOCK and (cut := CUT.search(text, at + BLOCK)):
+        yield text[at:cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 class _Uneven(Exception):
     """White space of several characters next to a cut."""
 
@@ -52,22 +75,31 @@ class ByteChunks:
     with longer white space around a space are matched as a whole.
     """
 
-    def __init__(self, piece: Callable[[str], Iterable[int]], pattern: str = BYTE_PATTERN, limit: int = CHUNKS):
+    def __init__(self, piece: Callable[[str], Sequence[int]], pattern: str = BYTE_PATTERN, limit: int = CHUNKS):
         self.find = regex.compile(pattern).findall
-        self.pieces = Remembered(lambda p: packed(piece(p.decode())), limit)
-        self.chunks = Remembered(self._chunk, limit)
+        self.piece = piece
+        self.pieces = Remembered(lambda p: packed(piece(p.decode())), limit // 8)
+        self.chunks = Remembered(self._chunk, limit)  # by what follows the space
 
     def matched(self, text: bytes) -> bytes:
-        get = self.pieces.__getitem__
-        return b"".join([get(p.encode()) for p in self.find(text.decode())])
+        return self._joined(self.find(text.decode()))
+
+    def _joined(self, found: list[str]) -> bytes:
+        chunks, pieces = self.chunks, self.pieces
+        # a match that begins with a space is a chunk of its own
+        return b"".join([chunks[p[1:].encode()] if p[0] == " " and not p[-1].isspace() else pieces[p.encode()] for p in found])
 
     def _chunk(self, part: bytes) -> bytes:
         word = part.decode()
         if not word or word[-1].isspace():
             raise _Uneven
-        return self.matched(b" " + part)
+        found = self.find(" " + word)
+        return packed(self.piece(found[0])) if len(found) == 1 else self._joined(found)
 
     def __call__(self, text: bytes) -> bytes:
+        return b"".join(map(self._block, blocks(text)))
+
+    def _block(self, text: bytes) -> bytes:
         parts = text.split(b" ")
         if len(parts) == 1:
             return self.matched(text)
@@ -101,7 +133,7 @@ class ByteLevel:
         model = self.tokenizer.model
         chars = byte_chars()
         spell = lambda p: "".join([chars[b] for b in p.encode()])
-        self.chunks = ByteChunks(lambda p: [t.id for t in model.tokenize(spell(p))], limit=limit)
+        self.chunks = ByteChunks(lambda p: [*map(IDS, model.tokenize(spell(p)))], limit=limit)
 
     def __call__(self, text: bytes) -> bytes:
         if any(s in text for s in self.special):
@@ -120,26 +152,45 @@ class WordLevel:
     """Ids of the tokenizers library for a file whose tokens never cross white space.
 
     The text is cut at the six ASCII white-space bytes, which the file's normalizer
-    and pattern drop; each distinct rest goes through the library's normalizer and
-    pre-tokenizer, and each distinct piece through its model.
+    and pattern drop.  Each distinct rest goes through the library's normalizer and
+    pre-tokenizer, and each distinct piece through its model.  For ``LATIN`` words
+    (printable ASCII and Latin letters up to U+017F that have a lower case of one
+    letter) both are the same as lower case and ``SPLIT``, the file's pattern with
+    its classes written out.
     """
 
+    LATIN = "[!-~\u00c0-\u012f\u0131-\u017f]+"
+    SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+"
+    PIECE = b"\0"  # marks a piece in the byte-level alphabet among the words
+
     def __init__(self, path: str, limit: int = CHUNKS):
         self.tokenizer = library(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenize = self.tokenizer.model.tokenize
+        self.latin = re.compile(self.LATIN).fullmatch
+        self.find = re.compile(self.SPLIT).findall
+        self.chars = byte_chars()
         self.words = Remembered(self._word, limit)
-        model = self.tokenizer.model
-        self.pieces = Remembered(lambda p: packed(t.id for t in model.tokenize(p.decode())), limit)
-        self.lower = re.compile(rb"[a-z]+").fullmatch
+
+    def _ids(self, piece: str) -> bytes:
+        return packed([*map(IDS, self.tokenize(piece))])
 
     def _word(self, word: bytes) -> bytes:
-        if self.lower(word) and len(word) <= LONGEST:  # neither normalizer nor pre-tokenizer changes it
-            return self.pieces[word]
+        if word[:1] == self.PIECE and word[1:2] == self.PIECE:
+            return self._ids(word[2:].decode())
         if any(s in word for s in self.special):
             return packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
-        plain = self.tokenizer.normalizer.normalize_str(word.decode())
+        text = word.decode()
+        if self.latin(text):
+            found = self.find(text.lower())
+            if len(found) == 1:
+                return self._ids("".join([self.chars[b] for b in found[0].encode()]))
+            return b"".join([self.words[p.encode()] for p in found])
+        plain = self.tokenizer.normalizer.normalize_str(text)
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)
-        return b"".join([self.pieces[p.encode()] for p, _ in split])
+        return b"".join([self.words[self.PIECE * 2 + p.encode()] for p, _ in split])
 
     def __call__(self, text: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))
+        if self.PIECE in text:  # as the library sees it, so that no text passes for a mark
+            return packed(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
+        return b"".join([b"".join(map(self.words.__getitem__, block.split())) for block in blocks(text)])

@@ -17,7 +17,7 @@ from tests.llm import cases
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
-PIECES = [*" \n\t  ab'sé1²Ⅷ_!", "\xa0", "\x1c", "ß", "中", "İ", "Σ", "ς.", "<|endoftext|>", "don't ", "́", "é", "  ", "\r\n", "🙂", " the", " of"]
+PIECES = [*" \n\t  ab'sé1²Ⅷ_!", "\xa0", "\x1c", "ß", "中", "İ", "Σ", "ς.", "À", "ÿ×÷Ÿ", "ŉĲſ", "Ⱥ", *map(chr, range(0xC0, 0x180, 5)), "<|endoftext|>", "don't ", "́", "é", "  ", "\r\n", "🙂", " the", " of", "\0"]
 
 
 def odd_texts(n):
@@ -26,8 +26,9 @@ def odd_texts(n):
 
 
 @pytest.mark.parametrize("kind, path", [(chunks.ByteLevel, BYTES), (chunks.WordLevel, WORDS)])
-@pytest.mark.parametrize("limit", [3, 1 << 20])
-def test_chunked_encoders_agree_with_the_library(kind, path, limit):
+@pytest.mark.parametrize("limit, block", [(3, 1 << 20), (1 << 20, 1 << 20), (1 << 20, 4)])
+def test_chunked_encoders_agree_with_the_library(kind, path, limit, block, monkeypatch):
+    monkeypatch.setattr(chunks, "BLOCK", block)
     encode, library = kind(path, limit), Tokenizer.from_file(path)
     for text in odd_texts(2000):
         assert encode(text.encode()) == chunks.packed(library.encode(text, add_special_tokens=False).ids), text
