@@ -39,31 +39,34 @@ SEED = 42
 BLOCKS = ((0, 22, 1), (22, 22, 1), (44, 20, 0))  # first bit, bits, threshold
 CODE_BITS = 15
 TILE = 4096  # rows of a crowded anchor that one side of a comparison holds
+HASHES = 1 << 18  # hashes whose bits are counted at once
 PAIRS = 1 << 21  # pairs compared at once
 U = np.uint64
 
 
-def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> list[int]:
+def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     words = text.lower().split()  # on bytes: A-Z only, and the six white-space bytes
     if len(words) <= size:
-        return [xxh64_intdigest(b" ".join(words), seed)] if words else []
+        return np.array([xxh64_intdigest(b" ".join(words), seed)] if words else [], U)
     line = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    return [xxh64_intdigest(line[a:b], seed) for a, b in zip(starts[:len(words) - size + 1].tolist(), ends[size - 1:].tolist())]
+    n = len(words) - size + 1
+    return np.fromiter((xxh64_intdigest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[size - 1:].tolist())), U, n)
 
 
 def vote(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Per row of ``counts`` consecutive hashes: the bits set in more than half of them."""
-    out = np.zeros(len(counts), U)
-    full = np.flatnonzero(counts)
-    if len(full):
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        starts = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
-        sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[full] = np.packbits(sums * 2 > counts[full][:, None], axis=1).view(">u8").ravel().astype(U)
-    return out
+    sums = np.zeros((len(counts), 64), np.int64)
+    ends = np.cumsum(counts)
+    for at in range(0, len(hashes), HASHES):
+        block = hashes[at:at + HASHES]
+        bits = np.unpackbits(block.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        row = np.searchsorted(ends, np.arange(at, at + len(block)), "right")
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        sums[row[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    return np.packbits(sums * 2 > counts[:, None], axis=1).view(">u8").ravel().astype(U)
 
 
 def _fingerprints(size: int):
@@ -75,8 +78,8 @@ def _fingerprints(size: int):
             for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                 got = shingle_hashes(data[a:b], size)
                 counts[r] = len(got)
-                hashes += got
-            fp = vote(np.array(hashes, U), counts)
+                hashes.append(got)
+            fp = vote(np.concatenate(hashes), counts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), batch.column("_key"), pa.array(fp.view(np.int64))], ["_id", "_key", "_fp"]
             )
