@@ -1,9 +1,8 @@
 """Exact deduplication with a heavy-hitter split.
 
 Every text is reduced to its SHA-256 digest in the JVM.  Each task sums up its
-digests in a Misra-Gries summary of a fixed number of counters; the summaries
-merge to one of the same size, which holds every digest with more than
-``1 / (counters + 1)`` of all rows.  These candidates are verified: their rows
+digests in a Misra-Gries summary of a fixed number of counters; merged, the
+summaries hold every digest with more than ``1 / (counters + 1)`` of all rows.  These candidates are verified: their rows
 are counted exactly, with partial sums before the shuffle.  The verified winners
 (at most ``counters`` rows) are broadcast, so that copies of a heavy text are
 settled where they are read.  All other digests are rare enough for an ordinary
@@ -44,27 +43,17 @@ def _summaries(counters: int, key: str):
     return run
 
 
-def heavy_keys(df: DataFrame, key: str, counters: int = COUNTERS, fan_in: int = 64) -> list[str]:
+def heavy_keys(df: DataFrame, key: str, counters: int = COUNTERS) -> list[str]:
     """Every value of the string column ``key`` that more than ``1 / (counters + 1)`` of the rows hold, and perhaps others.
 
-    Summaries of ``fan_in`` tasks merge in one task until one is left; the driver gets at most ``counters`` values.
+    Each task returns its summary.  Entries of all summaries are added up per value
+    and the largest ``counters`` sums are kept: what the summaries have lost of a
+    value is less than the share asked for, so no frequent value is among the rest.
+    At most ``counters`` rows per task are shuffled, and as many come to the driver.
     """
-    rows = df.select(key).mapInArrow(_summaries(counters, key), f"{key} string, n long")
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for batch in batches:
-            for k, n in zip(batch.column(key).to_pylist(), batch.column("n").to_pylist()):
-                total[k] += n
-            # many summaries come in a batch: entries that two of them hold add up before the cut
-            total = shrink(total, counters)
-        yield pa.RecordBatch.from_pydict({key: pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
-
-    parts = df.rdd.getNumPartitions()
-    while parts > fan_in:
-        parts = -(-parts // fan_in)
-        rows = rows.coalesce(parts).mapInArrow(merge, f"{key} string, n long")
-    return [r[key] for r in rows.coalesce(1).mapInArrow(merge, f"{key} string, n long").collect() if r[key] is not None]
+    rows = df.select(key).mapInArrow(_summaries(counters, key), f"{key} string, n long").where(F.col(key).isNotNull())
+    sums = rows.groupBy(key).agg(F.sum("n").alias("n"))
+    return [r[key] for r in sums.orderBy(F.desc("n"), key).limit(counters).collect()]
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:

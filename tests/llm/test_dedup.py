@@ -33,8 +33,8 @@ def test_exact_dedup_of_nothing(spark):
 def test_misra_gries_keeps_the_frequent(spark):
     rows = [("hot",)] * 300 + [("warm",)] * 120 + [(str(i),) for i in range(400)]
     df = spark.createDataFrame(rows, "k string").repartition(7)
-    assert {"hot", "warm"} <= set(exact_dedup.heavy_keys(df, "k", counters=8, fan_in=2))
-    assert len(exact_dedup.heavy_keys(df, "k", counters=8, fan_in=2)) <= 8
+    assert {"hot", "warm"} <= set(exact_dedup.heavy_keys(df, "k", counters=8))
+    assert len(exact_dedup.heavy_keys(df, "k", counters=8)) <= 8
 
 
 # ---------------------------------------------------------------- near copies
