@@ -19,19 +19,20 @@ for texts in no language of the model; such documents are rejected.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from polyview.llm.common import byte_column, given_id, id_column, list_array, slices, small_batches, text_column, text_key
 from polyview.llm.urls import suffix_and_domain
 from polyview.session import stored
 
 BUCKETS = 1 << 16
-FIT_ROWS = 20_000  # labelled rows that the text model is fitted on, on average
+FIT_ROWS = 20_000  # distinct texts per language that the text model is fitted on, at most
 MAX_LANGUAGES = 200
 TEMPER = 1 / 3
 FLAT = 0.1  # share of the even distribution in every language's trigrams
@@ -70,34 +71,54 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
         yield data[a:b]
 
 
+def fit_texts(labelled: DataFrame, fit_rows: int) -> tuple[list[str], DataFrame]:
+    """All languages of ``labelled`` (``_lang, _text``) and of each its ``fit_rows`` texts with the least hashes.
+
+    Languages and their distinct texts are counted over all rows by grouped
+    aggregation.  A language with more texts than wanted is first cut to a few more
+    than that by its share of the hash range, so that ranks are made of few rows;
+    a repeated text is one text.
+    """
+    rows = labelled.withColumn("_hash", F.xxhash64("_text", F.lit(7)))
+    counts = rows.select("_lang", "_hash").distinct().groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    counts = stored(counts, "languages")
+    names = [r["_lang"] for r in counts.select("_lang").sort("_lang").collect()]
+    wanted = fit_rows + 8 * math.sqrt(fit_rows) + 8
+    upto = F.least(F.lit(1.0), F.lit(wanted) / F.col("_n")) * 2.0**64 - 2.0**63
+    # a double as large as 2^63 becomes the largest long, so a rare language keeps all texts
+    near = rows.join(F.broadcast(counts.select("_lang", upto.cast("long").alias("_upto"))), "_lang").where(F.col("_hash") <= F.col("_upto"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash"))
+    last = near.select("_lang", "_hash").distinct().withColumn("_rank", rank).where(F.col("_rank") <= fit_rows)
+    last = last.groupBy("_lang").agg(F.max("_hash").alias("_last"))
+    picked = near.join(F.broadcast(last), "_lang").where(F.col("_hash") <= F.col("_last"))
+    return names, picked.groupBy("_lang", "_hash").agg(F.first("_text").alias("_text")).select("_lang", "_text")
+
+
 def fit_text(labelled: DataFrame, text: str = "text", language: str = "lang", fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities ``[bucket, language]``, with ``und`` as the last column.
 
-    Fitted on a sample of about ``fit_rows`` labelled rows, chosen by a hash of the
-    text; all of them if there are no more.  Only sums per language and bucket come
-    to the driver, at most ``MAX_LANGUAGES * BUCKETS``.  Without labelled rows no
-    language is known, and ``identify`` rejects every text.
+    Every language of the labelled rows is known, however rare.  Each is fitted on
+    at most ``fit_rows`` of its distinct texts, chosen by a hash of the text; on all
+    of them if there are no more.  Only sums per language and bucket come to the
+    driver, at most ``MAX_LANGUAGES * BUCKETS``.  Without labelled rows no language
+    is known, and ``identify`` rejects every text.
     """
     rows = labelled.select(F.coalesce(F.col(f"`{language}`"), F.lit("")).alias("_lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    rows = rows.where((F.col("_lang") != "") & (F.col("_lang") != UND))
-    total = rows.count()
-    share = min(1.0, fit_rows / total) if total else 1.0
-    if share < 1:
-        rows = rows.where(F.xxhash64("_text", F.lit(7)) < F.lit(int(-(2**63) + share * 2**64)))
-    names = [r["_lang"] for r in rows.select("_lang").distinct().sort("_lang").limit(MAX_LANGUAGES + 1).collect()]
+    names, rows = fit_texts(rows.where((F.col("_lang") != "") & (F.col("_lang") != UND)), fit_rows)
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(names), BUCKETS), np.int64)
         place = {n: i for i, n in enumerate(names)}
-        for batch in batches:
-            for lang, t in zip(batch.column("_lang").to_pylist(), _texts(batch)):
-                sums[place[lang]] += np.bincount(trigrams(t), minlength=BUCKETS)
-        which, bucket = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(which.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[which, bucket])], ["which", "bucket", "n"]
-        )
+        for batch in slices(batches):
+            codes = [trigrams(t) for t in _texts(batch)]
+            which = np.array([place[n] for n in batch.column("_lang").to_pylist()], np.int64)
+            keys = np.repeat(which, [len(c) for c in codes]) * BUCKETS + np.concatenate(codes)
+            found, n = np.unique(keys, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((found // BUCKETS).astype(np.int32)), pa.array((found % BUCKETS).astype(np.int32)), pa.array(n.astype(np.int64))],
+                ["which", "bucket", "n"],
+            )
 
     small_batches(labelled.sparkSession)
     counted = rows.mapInArrow(count, "which int, bucket int, n long").groupBy("which", "bucket").agg(F.sum("n").alias("n")).toPandas()

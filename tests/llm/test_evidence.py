@@ -143,6 +143,20 @@ def test_other_evidence_decides_where_the_text_is_unclear(spark, model):
     assert got[100].text_language == got[101].text_language == got[102].text_language
 
 
+def test_a_rare_language_is_fitted_whole(spark):
+    """Of one row in a hundred, on a sample that a global share would leave empty; copies are one text."""
+    english = [(i, f"the weather of the day and the number {'abcdefghij'[i % 10] * (i // 10 + 1)}", "en") for i in range(400)]
+    rare = [(1000 + i, f"der hund und die katze {'xyzv'[i]}", "de") for i in range(4)] + [(2000 + i, "der hund", "de") for i in range(50)]
+    rows = spark.createDataFrame(english + rare, "doc_id long, text string, lang string")
+    names, picked = language.fit_texts(rows.select(F.col("lang").alias("_lang"), F.col("text").alias("_text")), 5)
+    texts = Counter(r["_lang"] for r in picked.collect())
+    assert names == ["de", "en"] and texts == {"de": 5, "en": 5}
+    assert {r["_text"] for r in picked.where("_lang = 'de'").collect()} == {t for _, t, n in rare}
+    model = language.fit_text(rows, fit_rows=5)
+    got = language.identify(rows, model).where("doc_id >= 1000 AND doc_id < 2000").collect()
+    assert model[0] == ["de", "en", "und"] and all(r.language == "de" and r.accepted for r in got)
+
+
 def test_markup(spark):
     html = "<!DOCTYPE html><HTML class='x' LANG=\"pt-BR\"><script>var a='<b>';</script><!-- c --><p>Ol&aacute; <b>mundo</b></p></html>"
     df = spark.createDataFrame([(html,), (None,)], "h string")
