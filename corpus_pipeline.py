@@ -3,7 +3,8 @@
 ``run(spark, sf_dir)`` applies ``STAGES`` to the table ``documents``; each stage is
 written as Parquet to the shared scratch folder and read again by the next, so a
 lost executor costs at most one stage.  All stages but the last return the columns
-of ``documents``.
+of ``documents``; the last returns the packed sequences, of which ``run`` gives the
+digests.
 
 Rows are told apart by ``doc_id`` and text.  Rows that repeat both are one
 document: they are kept or dropped together.  A NULL ``doc_id`` comes before all
@@ -73,8 +74,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left and their places in the sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """The packed sequences: the pieces of all documents that are left, with their ids and places."""
+    return packing.sequences(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -91,4 +92,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return docs
+    return packing.digests(docs)

@@ -11,7 +11,6 @@ stored file part and the counts of the parts before it.
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -75,7 +74,7 @@ def slots(found: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text",
            encoder: Callable = ByteLevel) -> DataFrame:
-    """``_id, _key, start, length, ids_crc32, doc_tokens, ids``: the ids of each text and ``end``, cut every ``capacity``."""
+    """``_id, _key, start, length, doc_tokens, ids``: the ids of each text and ``end``, cut every ``capacity``."""
     small_batches(docs.sparkSession)
     tail = packed([end])
 
@@ -95,13 +94,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
             which = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id").take(which), batch.column("_key").take(which), pa.array(starts, pa.int64()),
-                 pa.array([len(p) // 4 for p in parts], pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64()),
-                 pa.array(totals, pa.int64()), pa.array(parts, pa.binary())],
-                ["_id", "_key", "start", "length", "ids_crc32", "doc_tokens", "ids"],
+                 pa.array([len(p) // 4 for p in parts], pa.int64()), pa.array(totals, pa.int64()), pa.array(parts, pa.binary())],
+                ["_id", "_key", "start", "length", "doc_tokens", "ids"],
             )
 
     rows = id_text(docs, doc_id, text).withColumn("_key", text_key(F.col("_text")))
-    return rows.mapInArrow(run, "_id long, _key long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    return rows.mapInArrow(run, "_id long, _key long, start long, length long, doc_tokens long, ids binary")
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -134,16 +132,27 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``: one row per piece of a document.
+def sequences(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, text_key, start, length, doc_tokens, sequence_id, offset, ids``: the packed sequences, one row per piece of a document.
 
     ``path`` is a byte-level tokenizer file; ``end`` closes every document, so NULL
-    and empty texts have one id.  A sequence holds its pieces without gaps from
-    offset 0 and is padded behind them.  Repeated rows are packed each, in any
-    order among themselves.  Other columns are not read; an empty table gives an
-    empty result.  ``pieces`` returns the ids themselves.
+    and empty texts have one id.  ``ids`` are the piece's ids, 4 bytes each, and
+    ``text_key`` tells rows apart that share an id.  A sequence holds its pieces
+    without gaps from offset 0 and is padded behind them.  Repeated rows are packed
+    each, in any order among themselves.  Other columns are not read; an empty table
+    gives an empty result.
     """
-    cut = pieces(docs, path, capacity, end, doc_id, text).drop("ids").withColumn("_part", F.spark_partition_id())
+    cut = pieces(docs, path, capacity, end, doc_id, text).withColumn("_part", F.spark_partition_id())
     return place(stored(cut, "pieces"), capacity).select(
-        given_id().alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+        given_id().alias("doc_id"), F.col("_key").alias("text_key"), "start", "length", "doc_tokens", "sequence_id", "offset", "ids"
     )
+
+
+def digests(packed_rows: DataFrame) -> DataFrame:
+    """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of the rows of ``sequences``."""
+    return packed_rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The digests of ``sequences``."""
+    return digests(sequences(docs, path, capacity, end, doc_id, text))

@@ -122,6 +122,19 @@ def test_pack(spark):
     assert packing.pack(cases.documents(spark, []), BYTES).count() == 0
 
 
+def test_sequences_hold_the_ids(spark):
+    rows = [*cases.edge_rows(), (2, "a third text with id two")]
+    got = packing.sequences(cases.documents(spark, rows, 3), BYTES).collect()
+    library = Tokenizer.from_file(BYTES)
+    texts = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert len(r.ids) == 4 * r.length
+        texts[r.doc_id, r.text_key].append((r.start, bytes(r.ids)))
+    want = Counter((i, np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t in set(rows))
+    joined = Counter((i, b"".join(p for _, p in sorted(set(parts)))) for (i, _), parts in texts.items())
+    assert joined == want
+
+
 # ---------------------------------------------------------------- token files
 
 
