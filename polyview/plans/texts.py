@@ -186,13 +186,13 @@ ODDS_SQL = f"""{EXAMPLES_SQL}, numbered AS (
 )"""
 
 
-def labelled(spark, sf_dir, docs: DataFrame) -> DataFrame:
-    """The labelled rows of ``docs`` with label id and exact split."""
+def labelled(spark, sf_dir, docs: DataFrame, how: str = "inner") -> DataFrame:
+    """The labelled rows of ``docs`` with label id and exact split; by a left join also all others, with NULLs."""
     marks = table(spark, sf_dir, "labels").select(
         "doc_id", labels.label_to_id_strict(sentiment(), LABEL_TO_ID).alias("y")
     )
     marks = marks.join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_semi")
-    return docs.join(ranks.split_exact(marks, ["doc_id"], 0.2, SPLIT_SEED), "doc_id")
+    return docs.join(ranks.split_exact(marks, ["doc_id"], 0.2, SPLIT_SEED), "doc_id", how)
 
 
 def fitted_odds(rows: DataFrame) -> DataFrame:
@@ -221,10 +221,10 @@ def view_sentiment(spark, sf_dir):
     return means.select("doc_id", *[r6(F.col(f"s_{c}")).alias(f"s_{c}") for c in range(N_CLASSES)])
 
 
-def four_views(spark, sf_dir) -> DataFrame:
-    """``doc_id, split, y`` and one vector column per dimension, of the labelled documents."""
+def four_views(spark, sf_dir, how: str = "inner") -> DataFrame:
+    """``doc_id, split, y`` and one vector column per dimension, of the labelled documents, or of all by a left join."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = stored(labelled(spark, sf_dir, docs.withColumn("words", X.tokens(F.col("text")))), "labelled")
+    rows = stored(labelled(spark, sf_dir, docs.withColumn("words", X.tokens(F.col("text"))), how), "labelled")
     odds = stored(fitted_odds(rows), "log-odds")
     idf = tokens.fit_idf(rows.where(F.col("split") == "train"), "words", HASH_WIDTH)
     means = tokens.mean_log_odds(rows, "doc_id", "words", odds, N_CLASSES)
@@ -285,6 +285,19 @@ ROUTED_TEXT_SQL = f"""WITH {ODDS_SQL}, words AS (
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY f DESC, class) = 1"""
 
 
+ROUTED_TEXT_ALL_SQL = (
+    ROUTED_TEXT_SQL.replace(
+        """SELECT doc_id, input AS text, y, r > ceil(total * 0.2::DOUBLE) AS train,
+         regexp_extract_all(lower(input), '[^ \\t\\n\\r\\f]+') AS words FROM numbered""",
+        """SELECT doc_id, text, y, coalesce(r > ceil(total * 0.2::DOUBLE), false) AS train,
+         regexp_extract_all(lower(text), '[^ \\t\\n\\r\\f]+') AS words FROM documents LEFT JOIN numbered USING (doc_id)""",
+    )
+    .replace("FROM words JOIN means USING (doc_id)", "FROM words LEFT JOIN means USING (doc_id)")
+    .replace("vec[i + 1] AS v", "coalesce(vec[i + 1], 0) AS v")
+    .replace(" WHERE NOT d.train", "")
+)
+
+
 def text_features(text: Column, words: Column) -> list[Column]:
     """Semantic, numeric and event features of a text as shares, in view order."""
     n = F.greatest(F.size(words), F.lit(1))
@@ -293,26 +306,37 @@ def text_features(text: Column, words: Column) -> list[Column]:
     return [f.cast("double") for f in (*shares, *[hit / n for hit in hits.values()])]
 
 
-@query("routed_text", ROUTED_TEXT_SQL)
-def routed_text(spark, sf_dir):
-    """From texts to predictions: four views, one nearest-center expert each, entropy gate, fusion."""
+def routed_texts(spark, sf_dir, how: str) -> DataFrame:
+    """``doc_id, split, y, pred, score`` by experts fitted on the train split, of the labelled documents, or of all by a left join."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = stored(labelled(spark, sf_dir, docs.withColumn("words", X.tokens(F.col("text")))), "labelled")
+    rows = stored(labelled(spark, sf_dir, docs.withColumn("words", X.tokens(F.col("text"))), how), "labelled")
     means = tokens.mean_log_odds(rows, "doc_id", "words", stored(fitted_odds(rows), "log-odds"), N_CLASSES)
     features = text_features(F.col("text"), F.col("words"))
     rows = rows.select("doc_id", "split", "y", F.array(*features).alias("own")).join(means, "doc_id")
     sentiments = views.feature_vector([f"s_{c}" for c in range(N_CLASSES)])
     rows = stored(rows.select("doc_id", "split", "y", F.concat("own", sentiments).alias("wide")), "views")
-    train, test = (rows.where(F.col("split") == name) for name in ("train", "test"))
+    train = rows.where(F.col("split") == "train")
     model = experts.fit_centroids(train, "wide", "y", TEXT_WIDTHS, N_CLASSES, TEXT_SHARPNESS)
     gate = routing.entropy_gate(F.col("decisions"), TEXT_K)
-    fused = experts.with_decisions(test, model, "wide").withColumn("fused", routing.fuse(gate, N_CLASSES))
-    return fused.select("doc_id", "y", V.argmax(F.col("fused")).alias("pred"), r6(F.array_max("fused")).alias("score"))
+    fused = experts.with_decisions(rows, model, "wide").withColumn("fused", routing.fuse(gate, N_CLASSES))
+    return fused.select("doc_id", "split", "y", V.argmax(F.col("fused")).alias("pred"), r6(F.array_max("fused")).alias("score"))
+
+
+@query("routed_text", ROUTED_TEXT_SQL)
+def routed_text(spark, sf_dir):
+    """From texts to predictions: four views, one nearest-center expert each, entropy gate, fusion."""
+    return routed_texts(spark, sf_dir, "inner").where(F.col("split") == "test").drop("split")
 
 
-def learned(spark, sf_dir) -> DataFrame:
-    """Decisions of one logistic expert per view, for all labelled documents."""
-    rows = stored(four_views(spark, sf_dir), "views")
+@query("routed_text_all", ROUTED_TEXT_ALL_SQL)
+def routed_text_all(spark, sf_dir):
+    """The same for every document; ``y`` is NULL without a label."""
+    return routed_texts(spark, sf_dir, "left").drop("split")
+
+
+def learned(spark, sf_dir, how: str = "inner") -> DataFrame:
+    """Decisions of one logistic expert per view, for all labelled documents, or for all by a left join."""
+    rows = stored(four_views(spark, sf_dir, how), "views")
     train = rows.where(F.col("split") == "train")
     for dimension in DIMENSIONS:
         rows = experts.logistic_lp(rows, experts.fit_logistic(train, dimension, "y"), dimension, f"lp_{dimension}")
@@ -323,8 +347,8 @@ def learned(spark, sf_dir) -> DataFrame:
     return rows.select("doc_id", "split", "y", F.array(*decided).alias("decisions"))
 
 
-def learned_rows(spark, sf_dir) -> DataFrame:
-    rows = learned(spark, sf_dir).select("doc_id", "split", "y", F.explode("decisions").alias("d"))
+def learned_rows(spark, sf_dir, how: str = "inner") -> DataFrame:
+    rows = learned(spark, sf_dir, how).select("doc_id", "split", "y", F.explode("decisions").alias("d"))
     return rows.select("doc_id", "split", "y", F.col("d.expert").alias("expert"), F.col("d.lp").alias("lp"))
 
 
@@ -334,6 +358,13 @@ def expert_logreg(spark, sf_dir):
     return rows.select("doc_id", "y", "expert", V.argmax(F.col("lp")).alias("pred"), r6(F.array_max("lp")).alias("lp"))
 
 
+@query("expert_logreg_all")
+def expert_logreg_all(spark, sf_dir):
+    """The same for every document; ``y`` is NULL without a label."""
+    rows = learned_rows(spark, sf_dir, "left")
+    return rows.select("doc_id", "y", "expert", V.argmax(F.col("lp")).alias("pred"), r6(F.array_max("lp")).alias("lp"))
+
+
 @query(
     "expert_fit_check",
     f"""WITH {ODDS_SQL} SELECT e::INTEGER AS expert, count(*) FILTER (r > ceil(total * 0.2::DOUBLE)) AS n_train,
@@ -365,14 +396,24 @@ def expert_eval(spark, sf_dir):
     return metrics.scores(counted, "y", "pred", list(LABEL_TO_ID.values()), ["expert"], weight="n").join(loss, "expert")
 
 
-@query("mixture_calibrate")
-def mixture_calibrate(spark, sf_dir):
+def calibrated(spark, sf_dir, how: str) -> DataFrame:
     """Experts fixed: a multinomial fit on the fused log-probabilities of the train rows."""
     gate = routing.entropy_gate(F.col("decisions"), 3)
-    rows = stored(learned(spark, sf_dir).withColumn("fused", routing.fuse(gate, N_CLASSES)), "fused")
+    rows = stored(learned(spark, sf_dir, how).withColumn("fused", routing.fuse(gate, N_CLASSES)), "fused")
     model = experts.fit_logistic(rows.where(F.col("split") == "train"), "fused", "y")
-    test = experts.logistic_lp(rows.where(F.col("split") == "test"), model, "fused", "mixed")
-    return test.select(
-        "doc_id", "y", V.argmax(F.col("fused")).alias("pred_fused"), V.argmax(F.col("mixed")).alias("pred_mixed"),
-        r6(V.nll(F.col("mixed"), F.col("y"))).alias("nll"),
+    mixed = experts.logistic_lp(rows, model, "fused", "mixed")
+    return mixed.select(
+        "doc_id", "split", "y", V.argmax(F.col("fused")).alias("pred_fused"), V.argmax(F.col("mixed")).alias("pred_mixed"),
+        r6(F.when(F.col("y").isNotNull(), V.nll(F.col("mixed"), F.col("y")))).alias("nll"),
     )
+
+
+@query("mixture_calibrate")
+def mixture_calibrate(spark, sf_dir):
+    return calibrated(spark, sf_dir, "inner").where(F.col("split") == "test").drop("split")
+
+
+@query("mixture_calibrate_all")
+def mixture_calibrate_all(spark, sf_dir):
+    """The same for every document; ``y`` and ``nll`` are NULL without a label."""
+    return calibrated(spark, sf_dir, "left").drop("split")

@@ -35,3 +35,11 @@ def test_calibration_fits_at_least_as_well_as_the_plain_fusion(spark, sf):
     y, plain = F.col("y"), V.log_softmax(F.col("fused"))
     fitted, fused = mixed.agg(F.avg(V.nll(F.col("mixed"), y)), F.avg(V.nll(plain, y))).first()
     assert fitted <= fused + 1e-3
+
+
+def test_every_document_is_scored_as_the_test_rows_are(spark, sf):
+    docs = {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    for name, keys in (("routed_text", 1), ("expert_logreg", 4), ("mixture_calibrate", 1)):
+        some, every = QUERIES[name](spark, sf).collect(), QUERIES[f"{name}_all"](spark, sf).collect()
+        assert {r["doc_id"] for r in every} == docs and len(every) == keys * len(docs)
+        assert {tuple(r) for r in some} < {tuple(r) for r in every}
