@@ -5,7 +5,9 @@ that lie below a fixed fraction of the range.  So the sketch of a text is a
 sample of its shingles whose size follows the text, two sketches are comparable
 whatever the sizes of their texts, and the sketch of a union is the union of the
 sketches.  The least hash is kept as well, so that no text with words has an
-empty sketch; a union keeps the lesser of the two, so sketches still merge.
+empty sketch; a union keeps the lesser of the two, so sketches still merge.  A
+least hash above the threshold tells texts apart, but it is no part of the sample:
+likeness is estimated without it.
 """
 
 from __future__ import annotations
@@ -36,10 +38,13 @@ def shingle_hashes(tokens: Column, size: int = SHINGLE) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), shingle)).otherwise(F.array().cast("array<long>"))
 
 
+def _highest(fraction: float) -> int:
+    return -(2**63) + int(fraction * 2**64) - 1
+
+
 def keep_low(hashes: Column, fraction: float = FRACTION) -> Column:
     """The sketch: distinct hashes below ``fraction`` of the range and the least one, sorted."""
-    highest = -(2**63) + int(fraction * 2**64) - 1
-    low = F.filter(hashes, lambda h: h <= F.lit(highest))
+    low = F.filter(hashes, lambda h: h <= F.lit(_highest(fraction)))
     least = F.filter(F.array(F.array_min(hashes)), lambda h: h.isNotNull())
     return F.array_sort(F.array_distinct(F.concat(low, least)))
 
@@ -49,15 +54,30 @@ def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
     return keep_low(F.concat(a, b), fraction)
 
 
-def resemblance(a: Column, b: Column) -> Column:
-    """Estimated share of common shingles among all of both: 1 for two empty sketches, 0 for one."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+def _low(sketch: Column, fraction: float) -> Column:
+    """A sketch without a least hash that lies above the threshold; that is then its only one."""
+    return F.when(F.get(sketch, F.lit(0)) <= F.lit(_highest(fraction)), sketch).otherwise(F.array().cast("array<long>"))
+
+
+def resemblance(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Estimated share of common shingles among all of both: 1 for two empty sketches, 0 for one.
+
+    Estimated from the hashes below the threshold.  Where neither text has one, it is
+    1 if the least hashes are equal, which has just this chance, and 0 if not.
+    """
+    low_a, low_b = _low(a, fraction), _low(b, fraction)
+    union = F.size(F.array_union(low_a, low_b))
+    empty = F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0))
+    return empty.when(union == 0, (a == b).cast("double")).otherwise(F.size(F.array_intersect(low_a, low_b)) / union)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the shingles of ``a`` that ``b`` has, however large ``b`` is; 1 if ``a`` has none."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Estimated share of the shingles of ``a`` that ``b`` has, however large ``b`` is; 1 if ``a`` has none.
+
+    Estimated from the hashes below the threshold; NULL if ``a`` has shingles but none there.
+    """
+    low = _low(a, fraction)
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(F.size(low) > 0, F.size(F.array_intersect(low, b)) / F.size(low))
 
 
 def printed(sketch: Column) -> Column:
@@ -104,7 +124,8 @@ def edited_sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next, in_edited, in_next``: likeness as resemblance and, in
-    the last two, as containment of the text's shingles.
+    the last two, as containment of the text's shingles (NULL where the sample of
+    the text is empty).
     """
     key = ["_id", "_key"]
     rows = id_text(docs, doc_id, text).withColumn("_key", text_key(F.col("_text")))
@@ -132,8 +153,8 @@ def edited_sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "edited_sha256",
         printed(own).alias("fingerprint"),
         printed(new).alias("edited_fingerprint"),
-        resemblance(own, new).alias("near_edited"),
-        resemblance(own, after).alias("near_next"),
-        containment(own, new).alias("in_edited"),
-        containment(own, after).alias("in_next"),
+        resemblance(own, new, fraction).alias("near_edited"),
+        resemblance(own, after, fraction).alias("near_next"),
+        containment(own, new, fraction).alias("in_edited"),
+        containment(own, after, fraction).alias("in_next"),
     )

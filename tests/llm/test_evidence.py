@@ -55,6 +55,22 @@ def test_sketches_merge_and_estimate_containment(spark):
     assert abs(row.n / 7996 - sketches.FRACTION) < 0.02
 
 
+def test_short_texts_in_long_ones_at_the_production_fraction(spark):
+    """A short text that lies whole in a long one is contained in it, or its sample is empty and says nothing."""
+    long = " ".join(f"v{i}" for i in range(3000))
+    short = [" ".join(f"v{i}" for i in range(k * 12, k * 12 + 8)) for k in range(200)]
+    df = spark.createDataFrame([(t, long, t + " end") for t in short], "a string, b string, c string")
+    for c in df.columns:
+        df = sketches.sketch(df, c, f"s_{c}")
+    rows = df.select(
+        sketches.containment(F.col("s_a"), F.col("s_b")).alias("inside"), sketches.resemblance(F.col("s_a"), F.col("s_c")).alias("near"),
+        sketches.resemblance(F.col("s_a"), F.col("s_a")).alias("same"),
+    ).collect()
+    inside = [r.inside for r in rows]
+    assert set(inside) == {1.0, None} and 0.4 < inside.count(None) / 200 < 0.75  # (7/8)**4 is 0.59
+    assert abs(sum(r.near for r in rows) / 200 - 4 / 5) < 0.1 and all(r.same == 1.0 for r in rows)
+
+
 def test_native_operators_run_no_python(spark):
     docs = cases.documents(spark, [(1, "a b"), (2, "c")])
     pages = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
