@@ -6,7 +6,8 @@ text shares with a template share a fingerprint.  An inverted index from
 fingerprint to (template, position) gives each hit a diagonal; hits of one
 template on near diagonals are one candidate.  A local alignment in a band around
 the candidate's diagonals counts the template's words that are found in order,
-through inserted, lost and changed words, and gives the span in the text.
+through inserted, lost and changed words, and gives the span in the text.  Words
+that tell licenses apart (versions, Lesser, NoDerivatives) must agree.
 """
 
 from __future__ import annotations
@@ -29,6 +30,36 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 HASH = 303
 U = np.uint64
 
+
+def _gnu(name: str, version: str) -> tuple[str, ...]:
+    """The standard notice of a GNU license, for a program and for a library."""
+    return tuple(
+        f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} Public License "
+        f"as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version. "
+        f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        f"MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} Public License for more details."
+        for what in ("program", "library")
+    )
+
+
+def _creative_commons() -> dict[str, tuple[str, ...]]:
+    """The six attribution licenses in every version, those before 4.0 also as unported."""
+    kinds = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial",
+             "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+    named = {}
+    for version, reach in (("4.0", " International"), ("3.0", " Unported"), ("2.5", " Generic"), ("2.0", " Generic"), ("1.0", " Generic")):
+        for kind, name in kinds.items():
+            texts = [f"Licensed under CC {kind} {version}.", f"This work is licensed under a Creative Commons {name} {version}{reach} License."]
+            if version != "4.0":
+                texts.append(f"This work is licensed under a Creative Commons {name} {version} License.")
+            named[f"CC-{kind}-{version}"] = tuple(texts)
+    return named
+
+
+#: Words that tell one license from another: a notice must have those of its template, and of the names no others.
+DECIDING_NAMES = ("lesser", "affero", "noderivatives", "noderivs", "noncommercial", "sharealike", "nd", "nc", "sa")
+DECIDING_NUMBERS = ("0", "1", "2", "3", "4", "5")
+
 #: Notices as their licenses word them, in full or in one line.
 NOTICES = {
     "Apache-2.0": (
@@ -54,8 +85,13 @@ NOTICES = {
         "program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
         "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "This work is licensed under the GNU General Public License, version 3.",
+        *_gnu("General", "3"),
     ),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
+    "GPL-2.0": (*_gnu("General", "2"), "This work is licensed under the GNU General Public License, version 2."),
+    "LGPL-2.0": (*_gnu("Library General", "2"), "This work is licensed under the GNU Library General Public License, version 2."),
+    "LGPL-2.1": (*_gnu("Lesser General", "2.1"), "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    "LGPL-3.0": (*_gnu("Lesser General", "3"), "This work is licensed under the GNU Lesser General Public License, version 3."),
+    "AGPL-3.0": (*_gnu("Affero General", "3"), "This work is licensed under the GNU Affero General Public License, version 3."),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
         "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
@@ -66,15 +102,26 @@ NOTICES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": (
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED",
+        "Released under the BSD 2-Clause License.",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "Licensed under the ISC License.",
     ),
-    "CC-BY-NC-4.0": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+        "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+        "non-commercial, and by any means.",
     ),
+    "CC0-1.0": ("Licensed under CC0 1.0.", "This work is licensed under a Creative Commons CC0 1.0 Universal License."),
+    **_creative_commons(),
 }
 
 
@@ -104,6 +151,13 @@ def winnowed(hashes: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return values, ok & (ranked == highest)
 
 
+def _hashes(texts: tuple[str, ...]) -> list[int]:
+    """The hashes of single words."""
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in data])]).astype(np.int64)
+    return plain_words(np.frombuffer(b"".join(data), np.uint8), offsets).hashes(HASH).tolist()
+
+
 class Index:
     """Fingerprints of the templates, sorted, with the template and word position of each."""
 
@@ -120,6 +174,14 @@ class Index:
         at = at[order]
         self.keys, self.template = values[at], words.rows()[at]
         self.position = at - words.first[self.template]
+        names, numbers = (set(_hashes(w)) for w in (DECIDING_NAMES, DECIDING_NUMBERS))
+        self.needed = [(names | numbers) & set(own) for own in self.words]
+        self.barred = [names - set(own) for own in self.words]
+
+    def decided(self, template: int, words: np.ndarray) -> bool:
+        """Whether the words of a match have the deciding words of its template and no other deciding name."""
+        found = set(words.tolist())
+        return self.needed[template] <= found and not self.barred[template] & found
 
     def hits(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of index into ``values`` and index entry with that fingerprint."""
@@ -186,8 +248,11 @@ def find_notices(index: Index, hashes: np.ndarray, template: np.ndarray, diagona
         at = low
         while at <= high:
             last = min(high, at + band) + band
-            found += [(t, *m) for m in _matches(own, hashes, max(0, at - band), min(len(hashes), last + len(own)), at - band, last, coverage)]
+            begin, stop = max(0, at - band), min(len(hashes), last + len(own))
+            if index.needed[t] <= set(hashes[begin:stop].tolist()):
+                found += [(t, *m) for m in _matches(own, hashes, begin, stop, at - band, last, coverage)]
             at += band + 1
+    found = [m for m in found if index.decided(m[0], hashes[m[2]:m[3]])]
     found.sort(key=lambda m: (-m[1], m[2], m[0]))
     taken: list[tuple[int, int, int, int]] = []
     by_block: dict[int, list[tuple[int, int]]] = defaultdict(list)

@@ -207,6 +207,24 @@ def test_license_scan(spark):
     assert licenses.scan(cases.documents(spark, [])).count() == 0
 
 
+def test_deciding_words(spark):
+    gpl3 = licenses.NOTICES["GPL-3.0"][0]
+    work = "This work is licensed under a Creative Commons Attribution{} License."
+    rows = [
+        ("GPL-3.0", gpl3), ("GPL-2.0", gpl3.replace("version 3", "version 2")), ("AGPL-3.0", gpl3.replace("GNU General", "GNU Affero General")),
+        ("LGPL-3.0", gpl3.replace("GNU General", "GNU Lesser General")), (None, gpl3.replace("version 3", "version 7")),
+        ("GPL-2.0", gpl3.replace("version 3", "version 2").replace("program", "library")), ("LGPL-2.0", gpl3.replace("version 3", "version 2").replace("GNU General", "GNU Library General")),
+        ("CC-BY-4.0", work.format(" 4.0 International")), ("CC-BY-ND-4.0", work.format("-NoDerivatives 4.0 International")),
+        ("CC-BY-3.0", work.format(" 3.0 Unported")), ("CC-BY-NC-SA-2.5", work.format("-NonCommercial-ShareAlike 2.5")), (None, work.format(" 9.0")),
+        *((name, licenses.NOTICES[name][0]) for name in ("ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "CC0-1.0", "LGPL-2.1")),
+    ]
+    got = licenses.scan(cases.documents(spark, [(i, t) for i, (_, t) in enumerate(rows)])).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.doc_id, []).append(r.license)
+    assert found == {i: [name] for i, (name, _) in enumerate(rows) if name}
+
+
 def test_alignment_counts_words_through_gaps():
     assert licenses.align([1, 2, 3, 4, 5], [9, 1, 2, 7, 3, 5, 8], -2, 3) == (4, 1, 6)
     assert licenses.align([1, 2], [3, 4], -2, 2)[0] == 0
