@@ -71,6 +71,11 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
         yield data[a:b]
 
 
+def main_language(label: Column) -> Column:
+    """A language label in lower case and without its region: ``en`` of ``en``, ``EN``, ``en-US`` and ``en_GB``."""
+    return F.substring_index(F.substring_index(F.lower(label), "-", 1), "_", 1)
+
+
 def fit_texts(labelled: DataFrame, fit_rows: int) -> tuple[list[str], DataFrame]:
     """All languages of ``labelled`` (``_lang, _text``) and of each its ``fit_rows`` texts with the least hashes.
 
@@ -103,7 +108,7 @@ def fit_text(labelled: DataFrame, text: str = "text", language: str = "lang", fi
     driver, at most ``MAX_LANGUAGES * BUCKETS``.  Without labelled rows no language
     is known, and ``identify`` rejects every text.
     """
-    rows = labelled.select(F.coalesce(F.col(f"`{language}`"), F.lit("")).alias("_lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    rows = labelled.select(main_language(F.coalesce(F.col(f"`{language}`").cast("string"), F.lit(""))).alias("_lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     names, rows = fit_texts(rows.where((F.col("_lang") != "") & (F.col("_lang") != UND)), fit_rows)
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -178,7 +183,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str =
     names, width = model[0], len(model[0])
     place = lambda c: F.lit("") if c is None else F.lower(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))
     suffix, domain = suffix_and_domain(F.col("_host"))
-    said = F.substring_index(F.substring_index(place(declared), "-", 1), "_", 1)
+    said = main_language(place(declared))
     rows = docs.select(
         id_column(doc_id).alias("_id"), text_column(text).alias("_text"), place(host).alias("_host"), said.alias("_said")
     ).withColumns({"_key": text_key(F.col("_text")), "_suffix": suffix, "_domain": domain})

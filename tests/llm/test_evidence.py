@@ -173,6 +173,12 @@ def test_a_rare_language_is_fitted_whole(spark):
     assert model[0] == ["de", "en", "und"] and all(r.language == "de" and r.accepted for r in got)
 
 
+def test_spellings_of_a_label_are_one_language(spark):
+    labels = ["en", "EN", "en-US", "en_GB", "De-AT", "UND"]
+    rows = spark.createDataFrame([(f"text of the label {i}", lang) for i, lang in enumerate(labels)], "text string, lang string")
+    assert language.fit_text(rows)[0] == ["de", "en", "und"]
+
+
 def test_markup(spark):
     html = "<!DOCTYPE html><HTML class='x' LANG=\"pt-BR\"><script>var a='<b>';</script><!-- c --><p>Ol&aacute; <b>mundo</b></p></html>"
     df = spark.createDataFrame([(html,), (None,)], "h string")
