@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from polyview.llm import bpe, exact_dedup, language, licenses, packing, simhash, sketches, substring, token_files, urls
+from polyview.llm import bpe, exact_dedup, jaccard, language, licenses, packing, simhash, sketches, substring, token_files, urls
 from polyview.llm.common import table
 from polyview.llm.registry import query
 from polyview.session import scratch_path
@@ -163,3 +163,8 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_license_scan")
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query("op11_jaccard_join")
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents")).drop("text_key")
