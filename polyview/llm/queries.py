@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from polyview.llm import bpe, exact_dedup, jaccard, language, licenses, negatives, packing, simhash, sketches, substring, token_files, urls
+from polyview.llm import bpe, exact_dedup, jaccard, language, licenses, negatives, packing, simhash, sketches, spelling, substring, token_files, urls
 from polyview.llm.common import table
 from polyview.llm.registry import query
 from polyview.session import scratch_path
@@ -198,3 +198,9 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec_id, label = F.col("vec_id"), F.col("label")
     changed = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, label=changed)
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.group_spellings(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
