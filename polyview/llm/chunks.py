@@ -1,8 +1,8 @@
-"""Text encoders that look up whole chunks: a tokenizer meets every distinct chunk once per worker, not once per place.
+"""Texts cut into chunks, so that an encoder meets every distinct chunk once per worker, not once per place.
 
-A chunk is a word with the white space that belongs to it.  Both kinds of cut are
-exact: the tokenizers split at the same places themselves, and what they do
-within a chunk does not depend on its neighbours.
+A chunk is a word with the white space that belongs to it.  The cut is exact:
+tokenizers split at the same places themselves, and what they do within a chunk
+does not depend on its neighbours.
 """
 
 from __future__ import annotations
@@ -11,12 +11,10 @@ import os
 import re
 import struct
 from collections.abc import Callable, Iterator, Sequence
-from operator import attrgetter
 
 import regex
 
 CHUNKS = 1 << 19  # chunks that one worker remembers
-IDS = attrgetter("id")
 LONGEST = 64  # bytes of a chunk worth remembering
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -118,79 +116,3 @@ def library(path: str):
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
-
-
-class ByteLevel:
-    """Ids of the tokenizers library for a byte-level file: ``encode(text, add_special_tokens=False)``.
-
-    Every match of the pattern is encoded by the library's own model.  A text
-    that holds the string of a special token goes to the library as a whole.
-    """
-
-    def __init__(self, path: str, limit: int = CHUNKS):
-        self.tokenizer = library(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        model = self.tokenizer.model
-        chars = byte_chars()
-        spell = lambda p: "".join([chars[b] for b in p.encode()])
-        self.chunks = ByteChunks(lambda p: [*map(IDS, model.tokenize(spell(p)))], limit=limit)
-
-    def __call__(self, text: bytes) -> bytes:
-        if any(s in text for s in self.special):
-            return packed(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
-        return self.chunks(text)
-
-
-def byte_chars() -> list[str]:
-    """The printable character that a byte-level vocabulary writes for each byte."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = iter(range(0x100, 0x200))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
-
-class WordLevel:
-    """Ids of the tokenizers library for a file whose tokens never cross white space.
-
-    The text is cut at the six ASCII white-space bytes, which the file's normalizer
-    and pattern drop.  Each distinct rest goes through the library's normalizer and
-    pre-tokenizer, and each distinct piece through its model.  For ``LATIN`` words
-    (printable ASCII and Latin letters up to U+017F that have a lower case of one
-    letter) both are the same as lower case and ``SPLIT``, the file's pattern with
-    its classes written out.
-    """
-
-    LATIN = "[!-~\u00c0-\u012f\u0131-\u017f]+"
-    SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+"
-    PIECE = b"\0"  # marks a piece in the byte-level alphabet among the words
-
-    def __init__(self, path: str, limit: int = CHUNKS):
-        self.tokenizer = library(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.tokenize = self.tokenizer.model.tokenize
-        self.latin = re.compile(self.LATIN).fullmatch
-        self.find = re.compile(self.SPLIT).findall
-        self.chars = byte_chars()
-        self.words = Remembered(self._word, limit)
-
-    def _ids(self, piece: str) -> bytes:
-        return packed([*map(IDS, self.tokenize(piece))])
-
-    def _word(self, word: bytes) -> bytes:
-        if word[:1] == self.PIECE and word[1:2] == self.PIECE:
-            return self._ids(word[2:].decode())
-        if any(s in word for s in self.special):
-            return packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
-        text = word.decode()
-        if self.latin(text):
-            found = self.find(text.lower())
-            if len(found) == 1:
-                return self._ids("".join([self.chars[b] for b in found[0].encode()]))
-            return b"".join([self.words[p.encode()] for p in found])
-        plain = self.tokenizer.normalizer.normalize_str(text)
-        split = self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)
-        return b"".join([self.words[self.PIECE * 2 + p.encode()] for p, _ in split])
-
-    def __call__(self, text: bytes) -> bytes:
-        if self.PIECE in text:  # as the library sees it, so that no text passes for a mark
-            return packed(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
-        return b"".join([b"".join(map(self.words.__getitem__, block.split())) for block in blocks(text)])

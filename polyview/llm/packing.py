@@ -5,8 +5,9 @@ of piece lengths (at most ``capacity`` numbers) comes to the driver.  Lengths ar
 placed longest first, each into the shortest open pack with room for it; equal
 packs are one pattern with a count, so the work follows the number of patterns
 and not that of documents.  Pieces find their place by rank: the r-th piece of a
-length fills the r-th slot of that length.  Ranks are made of the rank within a
-stored file part and the counts of the parts before it.
+length fills the r-th slot of that length.  The task that cuts a piece counts its
+rank within the part, and the counts of the parts before it are added, so ids are
+written once and never shuffled.
 """
 
 from __future__ import annotations
@@ -15,15 +16,18 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from polyview.llm.chunks import ByteLevel, packed
-from polyview.llm.common import byte_column, given_id, id_text, process_state, slices, small_batches, text_key
+from polyview.llm.common import byte_column, bytes_array, given_id, id_text, process_state, slices, small_batches, text_key
+from polyview.llm.encoders import byte_level, with_end
 from polyview.session import stored
 
 CAPACITY = 1024
 END = 0
+SMALL = 1 << 21  # counts of a length in a part that may be broadcast
 
 
 def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -73,63 +77,63 @@ def slots(found: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text",
-           encoder: Callable = ByteLevel) -> DataFrame:
-    """``_id, _key, start, length, doc_tokens, ids``: the ids of each text and ``end``, cut every ``capacity``."""
+           encoder: Callable = byte_level) -> DataFrame:
+    """``_id, _key, start, length, doc_tokens, ids, _part, _rank``: the ids of each text and ``end``, cut every ``capacity``.
+
+    ``_rank`` counts the pieces of a length in the part.
+    """
     small_batches(docs.sparkSession)
-    tail = packed([end])
+    names = ["_id", "_key", "start", "length", "doc_tokens", "ids", "_part", "_rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = process_state(f"{encoder.__name__}_{path}", lambda: encoder(path))
+        part, met = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in slices(batches):
-            buf, offsets = byte_column(batch.column("_text"))
-            data = buf.tobytes()
-            rows, parts, starts, totals = [], [], [], []
-            for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                ids = encode(data[a:b]) + tail
-                for at in range(0, len(ids), 4 * capacity):
-                    rows.append(r)
-                    parts.append(ids[at:at + 4 * capacity])
-                    starts.append(at // 4)
-                    totals.append(len(ids) // 4)
-            which = pa.array(rows, pa.int32())
+            ids, totals = with_end(*encode(*byte_column(batch.column("_text"))), end)
+            cuts = -(-totals // capacity)
+            row = np.repeat(np.arange(batch.num_rows), cuts)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * capacity
+            length = np.minimum(totals[row] - start, capacity)
+            order = np.argsort(length, kind="stable")
+            sorted_length = length[order]
+            rank = np.empty(len(row), np.int64)
+            rank[order] = met[sorted_length] + np.arange(len(row)) - np.searchsorted(sorted_length, sorted_length)
+            met += np.bincount(length, minlength=capacity + 1)
+            which = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").take(which), batch.column("_key").take(which), pa.array(starts, pa.int64()),
-                 pa.array([len(p) // 4 for p in parts], pa.int64()), pa.array(totals, pa.int64()), pa.array(parts, pa.binary())],
-                ["_id", "_key", "start", "length", "doc_tokens", "ids"],
+                [batch.column("_id").take(which), batch.column("_key").take(which), pa.array(start), pa.array(length), pa.array(totals[row]),
+                 bytes_array(ids.astype("<u4").view(np.uint8), length * 4), pa.array(np.full(len(row), part, np.int32)), pa.array(rank)], names
             )
 
     rows = id_text(docs, doc_id, text).withColumn("_key", text_key(F.col("_text")))
-    return rows.mapInArrow(run, "_id long, _key long, start long, length long, doc_tokens long, ids binary")
+    return rows.mapInArrow(run, "_id long, _key long, start long, length long, doc_tokens long, ids binary, _part int, _rank long")
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``cut`` (a stored frame with ``_id, _key, start, length, _part``) with ``sequence_id`` and ``offset``."""
-    counts = cut.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    """``cut`` (a stored frame of ``pieces``) with ``sequence_id`` and ``offset``.
+
+    The counts per length and part are broadcast if there are at most ``SMALL`` of them; else the engine joins them as it sees fit.
+    """
+    counts = stored(cut.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     table = slots(patterns(histogram, capacity))
+    first = np.searchsorted(table["length"], np.arange(capacity + 2))
     upto = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("length", "_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("length", "_part").orderBy("_id", "_key", "start")
-    ranked = cut.withColumn("_rank", F.row_number().over(inside).cast("long") - 1).join(before, ["length", "_part"])
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before", "_part")
-    schema = ranked.drop("_rank").withColumns({c: F.lit(0).cast("long") for c in ("sequence_id", "offset")}).schema
+    before = F.broadcast(before) if counts.count() <= SMALL else before
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = np.searchsorted(table["length"], np.arange(capacity + 2))
-        for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "_rank"))
-            at = np.empty(len(length), np.int64)
-            for n in np.unique(length):
-                own = length == n
-                lo, hi = first[n], first[n + 1]
-                at[own] = lo + np.searchsorted(table["low"][lo:hi], rank[own], "right") - 1
-            sequence = table["base"][at] + rank - table["low"][at]
-            kept = [n for n in batch.schema.names if n != "_rank"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in kept), pa.array(sequence), pa.array(table["offset"][at])], [*kept, "sequence_id", "offset"]
-            )
+    @F.pandas_udf("sequence_id long, offset long")
+    def slot(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        length, rank = length.to_numpy(), rank.to_numpy()
+        at = np.empty(len(length), np.int64)
+        for n in np.unique(length):
+            own = length == n
+            lo, hi = first[n], first[n + 1]
+            at[own] = lo + np.searchsorted(table["low"][lo:hi], rank[own], "right") - 1
+        return pd.DataFrame({"sequence_id": table["base"][at] + rank - table["low"][at], "offset": table["offset"][at]})
 
-    return ranked.mapInArrow(run, schema)
+    ranked = cut.join(before, ["length", "_part"]).withColumn("_slot", slot("length", F.col("_rank") + F.col("_before")))
+    return ranked.select(*[c for c in cut.columns if c not in ("_part", "_rank")], "_slot.sequence_id", "_slot.offset")
 
 
 def sequences(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,8 +146,7 @@ def sequences(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = E
     each, in any order among themselves.  Other columns are not read; an empty table
     gives an empty result.
     """
-    cut = pieces(docs, path, capacity, end, doc_id, text).withColumn("_part", F.spark_partition_id())
-    return place(stored(cut, "pieces"), capacity).select(
+    return place(stored(pieces(docs, path, capacity, end, doc_id, text), "pieces"), capacity).select(
         given_id().alias("doc_id"), F.col("_key").alias("text_key"), "start", "length", "doc_tokens", "sequence_id", "offset", "ids"
     )
 

@@ -18,11 +18,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from polyview.llm.chunks import WordLevel, packed
-from polyview.llm.common import NULL_ID, byte_column, given_id, id_text, list_array, process_state, slices, small_batches, text_key
+from polyview.llm.common import NULL_ID, byte_column, bytes_array, given_id, id_text, list_array, process_state, slices, small_batches, text_key
+from polyview.llm.encoders import with_end, word_level
+from polyview.session import stored
 
 BLOCK = 1 << 16
 GROUP = 64
+SHARD = 1 << 26  # bytes of text that a shard holds, about
+SMALL = 1 << 20  # shards whose places may be broadcast
 SCHEMA = (
     "shard int, block int, first long, n_ids long, width int, doc_ids array<long>, text_keys array<long>, starts array<long>, words binary"
 )
@@ -70,19 +73,18 @@ class _Block:
         self._new()
 
     def _new(self) -> None:
-        self.ids: list[bytes] = []
-        self.docs: list[tuple[int, int, int]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []  # ids, documents, keys, and how many ids each document has
         self.size = 0
 
-    def add(self, doc: int, key: int, ids: bytes) -> None:
-        self.docs.append((doc, key, self.size))
-        self.ids.append(ids)
-        self.size += len(ids) // 4
+    def add(self, ids: np.ndarray, docs: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((ids, docs, keys, counts))
+        self.size += len(ids)
 
     def close(self) -> pa.RecordBatch:
-        docs = np.array(self.docs, np.int64).reshape(-1, 3)
-        lists = [list_array(c, np.array([len(docs)]), pa.int64()) for c in docs.T.copy()]
-        words = pack_bits(np.frombuffer(b"".join(self.ids), "<u4"), self.width)
+        ids, docs, keys, counts = (np.concatenate(p) for p in zip(*self.parts))
+        starts = np.cumsum(counts) - counts
+        lists = [list_array(c, np.array([len(docs)]), pa.int64()) for c in (docs, keys, starts)]
+        words = pack_bits(ids, self.width)
         out = pa.RecordBatch.from_arrays(
             [pa.array([self.shard], pa.int32()), pa.array([self.number], pa.int32()), pa.array([self.first], pa.int64()),
              pa.array([self.size], pa.int64()), pa.array([self.width], pa.int32()), *lists, pa.array([words], pa.binary())],
@@ -95,7 +97,7 @@ class _Block:
 
 
 def write_tokens(docs: DataFrame, target: str, path: str, vocabulary: int, end: int, doc_id: str = "doc_id", text: str = "text",
-                 block: int = BLOCK, encoder: Callable = WordLevel) -> None:
+                 block: int = BLOCK, encoder: Callable = word_level) -> None:
     """Writes the ids of every text and ``end`` to the folder ``target``, in ascending order of ``doc_id``.
 
     A NULL id comes first; rows with equal ids follow a hash of their text.  NULL
@@ -103,24 +105,30 @@ def write_tokens(docs: DataFrame, target: str, path: str, vocabulary: int, end:
     error.  Other columns are not read; an empty table gives a folder without blocks.
     """
     small_batches(docs.sparkSession)
-    width, tail = bits_for(vocabulary), packed([end])
+    width = bits_for(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = process_state(f"{encoder.__name__}_{path}", lambda: encoder(path))
         open_block = _Block(TaskContext.get().partitionId(), width)
         for batch in slices(batches):
-            buf, offsets = byte_column(batch.column("_text"))
-            data = buf.tobytes()
-            ids, keys = batch.column("_id").to_pylist(), batch.column("_key").to_pylist()
-            for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                open_block.add(ids[r], keys[r], encode(data[a:b]) + tail)
+            ids, counts = with_end(*encode(*byte_column(batch.column("_text"))), end)
+            docs, keys = (batch.column(c).to_numpy() for c in ("_id", "_key"))
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            row = 0
+            while row < len(docs):  # documents up to the one that fills the block
+                to = min(len(docs), int(np.searchsorted(edges, edges[row] + block - open_block.size)))
+                to = max(to, row + 1)
+                open_block.add(ids[edges[row]:edges[to]], docs[row:to], keys[row:to], counts[row:to])
                 if open_block.size >= block:
                     yield open_block.close()
+                row = to
         if open_block.size:
             yield open_block.close()
 
     rows = id_text(docs, doc_id, text).withColumn("_key", text_key(F.col("_text")))
-    ordered = rows.repartitionByRange("_id", "_key").sortWithinPartitions("_id", "_key")
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
+    ordered = rows.repartitionByRange(parts, "_id", "_key").sortWithinPartitions("_id", "_key")
     ordered.mapInArrow(run, SCHEMA).write.option("compression", "uncompressed").parquet(target)
 
 
@@ -129,7 +137,8 @@ def read_tokens(spark: SparkSession, source: str) -> DataFrame:
     blocks = spark.read.schema(SCHEMA).parquet(source)
     upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("_n"))
-    bases = shards.select("shard", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
+    bases = stored(shards.select("shard", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base")), "bases")
+    bases = F.broadcast(bases) if bases.count() <= SMALL else bases  # beyond that the engine joins them as it sees fit
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +147,9 @@ def read_tokens(spark: SparkSession, source: str) -> DataFrame:
                 ids = unpack_bits(row["words"], row["width"], 0, row["n_ids"])
                 starts = np.array(row["starts"], np.int64)
                 counts = np.diff(np.append(starts, row["n_ids"]))
-                data = ids.tobytes()
-                texts = [data[4 * a:4 * (a + n)] for a, n in zip(starts.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(row["text_keys"], pa.int64()),
-                     pa.array(starts + row["first"] + row["_base"]), pa.array(counts), pa.array(texts, pa.binary())],
+                     pa.array(starts + row["first"] + row["_base"]), pa.array(counts), bytes_array(ids.view(np.uint8), counts * 4)],
                     ["_id", "text_key", "start", "n_tokens", "ids"],
                 )
 

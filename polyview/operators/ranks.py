@@ -7,6 +7,7 @@ it, and only the rank inside a bucket needs a window.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
@@ -136,6 +137,75 @@ def mini_batches(df: DataFrame, size: int, row_id: str = "row_id") -> DataFrame:
     return df.withColumn("batch_id", F.floor(F.col(row_id) / size).cast("bigint"))
 
 
-def step_cap(df: DataFrame, max_steps: int | None) -> DataFrame:
+def step_cap(df: DataFrame, max_steps: int | None, step: str = "batch_id") -> DataFrame:
     """The batches a training pass sees when it stops after ``max_steps``."""
-    return df if max_steps is None else df.where(F.col("batch_id") < max_steps)
+    return df if max_steps is None else df.where(F.col(step) < max_steps)
+
+
+PRIME, FACTORS = 2**31 - 1, (48271, 69621)  # products of two numbers below the prime fit 64 bits
+ROUNDS = 4
+GRIDS = 256
+SURE = 1e-15  # chance that a walk does not end in time, which is an error
+
+
+def sides(n: int) -> tuple[int, int]:
+    """Sides of a nearly square grid with at least ``n`` cells, and as few more as any of ``GRIDS`` choices has."""
+    root = math.isqrt(max(1, n))
+    return min(((a, -(-max(1, n) // a)) for a in range(root, root + min(GRIDS, root // 2 + 1))), key=lambda s: s[0] * s[1])
+
+
+def walks(n: int) -> int:
+    """Steps that bring a cell beyond ``n`` back: no more than there are such cells, and for a large ``n`` so many that
+    none of ``n`` rows is likely to need another one."""
+    a, b = sides(n)
+    beyond = a * b - n
+    return min(beyond, math.ceil(math.log(SURE / n) / math.log(beyond / (a * b)))) if beyond and n else 0
+
+
+def _mixed(x: Column, key: Column) -> Column:
+    """A number below ``PRIME`` that depends on ``x`` and ``key``, in 64-bit integers only."""
+    for factor, shift in zip(FACTORS, (13, 11)):
+        x = (x * factor + key) % PRIME
+        x = x.bitwiseXOR(F.shiftright(x, shift)) % PRIME
+    return x
+
+
+def _network(df: DataFrame, x: str, key: str, n: int) -> DataFrame:
+    """``x`` sent through the keyed network: its row and column in the grid are shifted by turns, each by a hash of the other."""
+    a, b = sides(n)
+    df = df.withColumns({"__l": F.floor(F.col(x) / F.lit(b)).cast("bigint"), "__r": F.col(x) % b})
+    for turn in range(ROUNDS):
+        df = df.withColumn("__l", (F.col("__l") + _mixed(F.col("__r"), F.col(key) + 2 * turn)) % a)
+        df = df.withColumn("__r", (F.col("__r") + _mixed(F.col("__l"), F.col(key) + 2 * turn + 1)) % b)
+    return df.withColumn(x, F.col("__l") * b + F.col("__r")).drop("__l", "__r")
+
+
+def epoch_positions(df: DataFrame, n: int, epoch: Column, seed: int, row_id: str = "row_id", name: str = "position") -> DataFrame:
+    """Adds the position of a row in the order of an epoch: a permutation of ``0 .. n - 1`` for every value of ``epoch``.
+
+    The permutation is computed from the row id alone, by a keyed Feistel network on
+    a grid of at least ``n`` cells; a row that lands beyond ``n`` walks on until it is
+    back.  No row meets another: there is no sort and no shuffle.  ``row_id`` holds
+    0 .. n - 1; another id, or a walk that does not end, is an error.
+    """
+    if not 0 <= n < 2**62:
+        raise ValueError(f"{n} rows")
+    inside = F.col(row_id).between(0, n - 1)
+    start = F.when(inside, F.col(row_id).cast("bigint")).otherwise(F.raise_error(F.lit(f"row id beyond {n} rows")).cast("bigint"))
+    key = ((F.lit(seed % PRIME) * FACTORS[0] + epoch.cast("bigint") * FACTORS[1]) % PRIME + PRIME) % PRIME
+    df = _network(df.withColumns({name: start, "__key": key}), name, "__key", n)
+    for _ in range(walks(n)):
+        df = _network(df.withColumn("__next", F.col(name)), "__next", "__key", n)
+        df = df.withColumn(name, F.when(F.col(name) < n, F.col(name)).otherwise(F.col("__next"))).drop("__next")
+    ended = F.when(F.col(name) < n, F.col(name)).otherwise(F.raise_error(F.lit("the walk did not end")).cast("bigint"))
+    return df.withColumn(name, ended).drop("__key")
+
+
+def epoch_batches(df: DataFrame, n: int, epochs: int, size: int, seed: int, row_id: str = "row_id") -> DataFrame:
+    """Every row once per epoch, with ``epoch``, ``position``, ``batch_id`` in the epoch and ``step`` over all epochs."""
+    if size < 1:
+        raise ValueError("a batch holds one row at least")
+    each = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))) if epochs > 0 else df.withColumn("epoch", F.lit(0)).limit(0)
+    placed = mini_batches(epoch_positions(each, n, F.col("epoch"), seed, row_id), size, "position")
+    per_epoch = -(-n // size)
+    return placed.withColumn("step", F.col("epoch").cast("bigint") * per_epoch + F.col("batch_id"))

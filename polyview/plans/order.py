@@ -11,7 +11,7 @@ from polyview.schema import GATE_BATCH, SPLIT_SEED
 from polyview.session import stored
 
 ROW_SEED = 0
-MAX_STEPS = None  # the cap of a fit on its training batches; by default there is none
+EPOCHS, MAX_STEPS = 3, 150  # passes over the rows, and the cap of a fit on its steps over all of them
 WORDS_SQL = "regexp_extract_all(lower(text), '[^ \\t\\n\\r\\f]+')"
 ROWS_SQL = f"""
 rows AS (
@@ -60,14 +60,57 @@ def mini_batches(spark, sf_dir):
     return ranks.mini_batches(numbered(spark, sf_dir), GATE_BATCH).select("doc_id", "row_id", "batch_id")
 
 
+def epochs_of(spark, sf_dir):
+    """Every document once per epoch, in an order of its own for each."""
+    rows = stored(numbered(spark, sf_dir).select("doc_id", "row_id"), "rows")
+    return ranks.epoch_batches(rows, rows.count(), EPOCHS, GATE_BATCH, SPLIT_SEED)
+
+
+#: The grid of the network depends on the number of rows, so the SQL tries all sides as the library does.
+_EPOCHS_SQL = f"""WITH RECURSIVE {ROWS_SQL}, total AS (SELECT count(*) AS n, greatest(floor(sqrt(greatest(count(*), 1)))::BIGINT, 1) AS root FROM rows
+), grid AS (
+  SELECT n, a, (greatest(n, 1) + a - 1) // a AS b FROM (SELECT n, root, unnest(range(root, root + least({ranks.GRIDS}, root // 2 + 1))) AS a FROM total)
+  ORDER BY a * ((greatest(n, 1) + a - 1) // a), a LIMIT 1
+), sized AS (SELECT row_id, n, a, b FROM rows, grid
+), network AS (
+  SELECT row_id, n, a, b, e AS epoch,
+         (({SPLIT_SEED}::BIGINT * {ranks.FACTORS[0]} + e * {ranks.FACTORS[1]}) % {ranks.PRIME}) AS key, 0 AS turn,
+         row_id // b AS l, row_id % b AS r, -1::BIGINT AS done
+  FROM sized, range({EPOCHS}) AS t(e)
+  UNION ALL
+  SELECT row_id, n, a, b, epoch, key, (turn + 1) % {2 * ranks.ROUNDS}, nl, nr,
+         CASE WHEN turn = {2 * ranks.ROUNDS - 1} AND nl * b + nr < n THEN nl * b + nr ELSE -1 END
+  FROM (
+    SELECT *, CASE WHEN turn % 2 = 0 THEN (l + h) % a ELSE l END AS nl, CASE WHEN turn % 2 = 1 THEN (r + h) % b ELSE r END AS nr
+    FROM (
+      SELECT *, xor(t2, t2 >> 11) % {ranks.PRIME} AS h FROM (
+        SELECT *, (xor(t1, t1 >> 13) % {ranks.PRIME} * {ranks.FACTORS[1]} + key + turn) % {ranks.PRIME} AS t2 FROM (
+          SELECT *, (CASE WHEN turn % 2 = 0 THEN r ELSE l END * {ranks.FACTORS[0]} + key + turn) % {ranks.PRIME} AS t1
+          FROM network WHERE done < 0)))
+  )
+), batched AS (
+  SELECT row_id, epoch::INTEGER AS epoch, done AS position, done // {GATE_BATCH} AS batch_id,
+         epoch * ((n + {GATE_BATCH} - 1) // {GATE_BATCH}) + done // {GATE_BATCH} AS step
+  FROM network WHERE done >= 0
+)"""
+
+
+@query(
+    "epoch_batches",
+    f"{_EPOCHS_SQL} SELECT doc_id, epoch, position, batch_id FROM batched JOIN rows USING (row_id)",
+)
+def epoch_batches(spark, sf_dir):
+    """A new order of all rows in every epoch, and their batches."""
+    return epochs_of(spark, sf_dir).select("doc_id", "epoch", "position", "batch_id")
+
+
 @query(
     "step_cap",
-    f"WITH {ROWS_SQL} SELECT doc_id, row_id // {GATE_BATCH} AS batch_id FROM rows",
+    f"{_EPOCHS_SQL} SELECT doc_id, epoch, step FROM batched JOIN rows USING (row_id) WHERE step < {MAX_STEPS}",
 )
 def step_cap(spark, sf_dir):
-    """Training batches under the default cap, which keeps them all; a cap is a parameter of one fit."""
-    rows = ranks.mini_batches(numbered(spark, sf_dir), GATE_BATCH)
-    return ranks.step_cap(rows, MAX_STEPS).select("doc_id", "batch_id")
+    """The rows that a fit sees when it stops after so many batches over all its epochs."""
+    return ranks.step_cap(epochs_of(spark, sf_dir), MAX_STEPS, "step").select("doc_id", "epoch", "step")
 
 
 @query("seeded_shuffle", f"SELECT doc_id, md5('{SPLIT_SEED}:' || doc_id) AS shuffle_key FROM documents ORDER BY 2, 1")

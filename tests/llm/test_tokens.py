@@ -6,12 +6,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from polyview.llm import bpe, chunks, packing, token_files
+from polyview.llm import bpe, chunks, encoders, packing, token_files
+from polyview.llm.common import byte_column
 from tests.llm import cases
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -25,13 +27,23 @@ def odd_texts(n):
     return ["".join(rng.choice(PIECES) for _ in range(rng.randrange(40))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("kind, path", [(chunks.ByteLevel, BYTES), (chunks.WordLevel, WORDS)])
-@pytest.mark.parametrize("limit, block", [(3, 1 << 20), (1 << 20, 1 << 20), (1 << 20, 4)])
-def test_chunked_encoders_agree_with_the_library(kind, path, limit, block, monkeypatch):
+@pytest.mark.parametrize("make, path", [(encoders.byte_level, BYTES), (encoders.word_level, WORDS)])
+@pytest.mark.parametrize("known, block, rows", [(50, 1 << 20, 37), (1 << 18, 1 << 20, 100), (1 << 18, 4, 1)])
+def test_encoders_agree_with_the_library(make, path, known, block, rows, monkeypatch):
     monkeypatch.setattr(chunks, "BLOCK", block)
-    encode, library = kind(path, limit), Tokenizer.from_file(path)
-    for text in odd_texts(2000):
-        assert encode(text.encode()) == chunks.packed(library.encode(text, add_special_tokens=False).ids), text
+    encode, library = make(path, known), Tokenizer.from_file(path)
+    texts = odd_texts(2000)
+    for at in range(0, len(texts), rows):
+        part = texts[at:at + rows]
+        ids, counts = encode(*byte_column(pa.array(part)))
+        want = [library.encode(t, add_special_tokens=False).ids for t in part]
+        assert counts.tolist() == [len(w) for w in want], part
+        assert ids.tolist() == [i for w in want for i in w], part
+
+
+def test_rows_end_with_the_end():
+    ids, counts = encoders.with_end(np.array([5, 6, 7], np.uint32), np.array([0, 2, 0, 1]), 9)
+    assert ids.tolist() == [9, 5, 6, 9, 9, 7, 9] and counts.tolist() == [1, 3, 1, 2]
 
 
 def test_pattern_is_that_of_the_rank_files():
