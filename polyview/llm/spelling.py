@@ -31,6 +31,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from polyview.llm.common import NULL_ID, byte_column, id_text, small_batches
@@ -42,6 +43,7 @@ LETTERS = 6  # of a word, at least
 COUNT = 5  # occurrences of a word, at least
 RATIO = 5  # times a word's count that its form must have
 GROUP = 4096  # words of a group that is not cut by letters any more, and of a block
+SHARE = 1 << 14  # words of a task that looks for near ones
 LONG = 32  # letters of words beyond which blocks get smaller
 HELD = 1 << 18  # counts that a task holds before it sends them on
 CELLS = 1 << 16  # machine words of a set for all queries that run together
@@ -135,37 +137,50 @@ def one_edit(queries: np.ndarray, n: int, words: np.ndarray, m: int, alphabet: i
 
 def _letters(words: list[str], width: int) -> tuple[np.ndarray, int]:
     """Words as numbers from 1, in the order of the code points they use, and how many numbers there are."""
-    points = np.zeros((len(words), width), np.uint32)
-    for i, word in enumerate(words):
-        points[i, :len(word)] = np.frombuffer(word.encode("utf-32-le"), np.uint32)
-    values, codes = np.unique(points, return_inverse=True)
-    codes = codes.reshape(points.shape)
-    return (codes if len(values) and values[0] == 0 else codes + 1), len(values) + 1
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    used = np.zeros(int(points.max(initial=0)) + 1, bool)
+    used[points] = True
+    numbers = np.cumsum(used)
+    codes = np.zeros((len(words), width), np.int64)
+    codes[np.arange(width) < sizes[:, None]] = numbers[points]
+    return codes, int(numbers[-1]) + 1
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of each group; rows of a group follow one another."""
-    held: list[tuple[str, bool, str]] = []
-    now = None
+    names = ("group", "n", "m", "a", "b")
+    held: list[pa.RecordBatch] = []
 
     def finish() -> pa.RecordBatch:
-        n, m = now[1], now[2]
-        queries, words = [w for w, indexed in held if not indexed], [w for w, indexed in held if indexed]
-        pairs = ([], [])
-        if queries and words:
-            codes, alphabet = _letters(queries + words, m)
+        rows = pa.Table.from_batches(held)
+        n, m = rows.column("n")[0].as_py(), rows.column("m")[0].as_py()
+        indexed = rows.column("indexed").to_numpy()
+        queries, words = (rows.column("word").filter(pa.array(side)).combine_chunks() for side in (~indexed, indexed))
+        a = b = np.zeros(0, np.int64)
+        if len(queries) and len(words):
+            codes, alphabet = _letters(queries.to_pylist() + words.to_pylist(), m)
             a, b = one_edit(codes[:len(queries)], n, codes[len(queries):], m, alphabet)
-            pairs = ([queries[i] for i in a], [words[i] for i in b])
-        return pa.RecordBatch.from_arrays([pa.array(p, pa.string()) for p in pairs], ["word", "near"])
+        word, near = queries.take(pa.array(a)), words.take(pa.array(b))
+        if m > n:  # words of one length meet both ways
+            word, near = pa.concat_arrays([word, near]), pa.concat_arrays([near, word])
+        return pa.RecordBatch.from_arrays([word, near], ["word", "near"])
 
     for batch in batches:
-        names = ("group", "n", "m", "a", "b", "word", "indexed")
-        for group, n, m, a, b, word, indexed in zip(*(batch.column(c).to_pylist() for c in names)):
-            if (group, n, m, a, b) != now:
-                if held:
-                    yield finish()
-                now, held = (group, n, m, a, b), []
-            held.append((word, indexed))
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        change[0] = bool(held) and any(batch.column(c)[0] != held[-1].column(c)[0] for c in names)
+        for c in names:
+            column = batch.column(c)
+            change[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+        at = 0
+        for to in np.flatnonzero(change).tolist():
+            if to > at:
+                held.append(batch.slice(at, to - at))
+            yield finish()
+            held, at = [], to
+        held.append(batch.slice(at))
     if held:
         yield finish()
 
@@ -173,7 +188,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_words(words: DataFrame, group: int = GROUP) -> DataFrame:
     """``word, near``: all ordered pairs of the distinct strings in ``word`` that are one inserted, deleted or replaced code point apart.
 
-    A class with more than ``group`` words is cut by letters.
+    A class with more than ``group`` words is cut by letters.  ``words`` is read more than once, so it should be stored.
     """
     sized = words.select("word", F.length("word").alias("_len"))
     as_query = sized.withColumn("n", F.col("_len")).withColumn("m", F.explode(F.array(F.col("_len"), F.col("_len") + 1)))
@@ -194,10 +209,10 @@ def near_words(words: DataFrame, group: int = GROUP) -> DataFrame:
     asked = placed.where("_len = n").withColumns({"a": own, "indexed": F.lit(False)}).withColumn("b", others)
     indexed = placed.where("_len = m").withColumns({"b": own, "indexed": F.lit(True)}).withColumn("a", others)
     rows = asked.unionByName(indexed).select("group", "n", "m", "a", "b", "word", "indexed")
-    dealt = rows.repartition("group", "n", "m", "a", "b").sortWithinPartitions("group", "n", "m", "a", "b")
-    found = dealt.mapInArrow(_neighbours, "word string, near string")
-    back = found.where(F.length("word") != F.length("near")).select(F.col("near").alias("word"), F.col("word").alias("near"))
-    return found.unionByName(back).distinct()  # words that agree at both ends meet twice
+    # a word costs far more time than bytes, so the number of tasks follows the words and not the size of the shuffle
+    parts = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // SHARE))
+    dealt = rows.repartition(parts, "group", "n", "m", "a", "b").sortWithinPartitions("group", "n", "m", "a", "b")
+    return dealt.mapInArrow(_neighbours, "word string, near string").distinct()  # words that agree at both ends meet twice
 
 
 def spelling_variants(counts: DataFrame, letters: int = LETTERS, least: int = COUNT, ratio: int = RATIO, group: int = GROUP) -> DataFrame:
