@@ -110,7 +110,9 @@ def epoch_batches(spark, sf_dir):
 )
 def step_cap(spark, sf_dir):
     """The rows that a fit sees when it stops after so many batches over all its epochs."""
-    return ranks.step_cap(epochs_of(spark, sf_dir), MAX_STEPS, "step").select("doc_id", "epoch", "step")
+    # stored: a filter pushed through the rounds of the network would repeat their expressions in one another
+    steps = stored(epochs_of(spark, sf_dir).select("doc_id", "epoch", "step"), "steps")
+    return ranks.step_cap(steps, MAX_STEPS, "step")
 
 
 @query("seeded_shuffle", f"SELECT doc_id, md5('{SPLIT_SEED}:' || doc_id) AS shuffle_key FROM documents ORDER BY 2, 1")
