@@ -271,8 +271,9 @@ ROUTED_TEXT_SQL = f"""WITH {ODDS_SQL}, words AS (
 ), z AS (
   SELECT d.doc_id, d.y, d.expert, k.class, -{TEXT_SHARPNESS}::DOUBLE * sum((d.v - k.c) * (d.v - k.c)) AS z
   FROM dims d JOIN centers k ON d.i = k.i WHERE NOT d.train GROUP BY ALL
+), tops AS (SELECT *, z - max(z) OVER (PARTITION BY doc_id, expert) AS below FROM z
 ), lp AS (
-  SELECT *, z - ln(sum(exp(z)) OVER (PARTITION BY doc_id, expert)) AS lp FROM z
+  SELECT doc_id, y, expert, class, below - ln(sum(exp(below)) OVER (PARTITION BY doc_id, expert)) AS lp FROM tops
 ), h AS (SELECT doc_id, expert, -sum(exp(lp) * lp) AS h FROM lp GROUP BY ALL
 ), once AS (
   SELECT *, exp(-h) / sum(exp(-h)) OVER (PARTITION BY doc_id) AS w,
