@@ -64,6 +64,17 @@ def clean_scratch(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def subfolders(spark: SparkSession, root: str, committed: bool = False) -> list[str]:
+    """Names of the folders under ``root``, sorted; ``committed`` keeps those whose write has ended. A missing root has none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    found = [status.getPath() for status in files.listStatus(path) if status.isDirectory()]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(f.getName() for f in found if not committed or files.exists(done(f, "_SUCCESS")))
+
+
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written once as Parquet to the scratch folder and read back.
 
