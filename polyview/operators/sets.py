@@ -13,14 +13,16 @@ def union_all(*frames: DataFrame, missing: bool = False) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=missing), frames)
 
 
-def union_splits(df: DataFrame, split: str = "split") -> DataFrame:
-    """All splits of a stored corpus as one table, each row with its ``split``.
+def union_splits(splits: Mapping[str | None, DataFrame], split: str = "split") -> DataFrame:
+    """Split tables as one; each row carries the name of its table in ``split``, first.
 
-    A corpus keeps its splits in one table (or in partition folders of one), so
-    the union is a single scan: no list of names can leave a split out, and rows
-    without a split stay.
+    Columns are matched by name, and one that a table lacks is NULL there.  A table's own
+    column of that name gives way to the name of the table.  Repeated rows stay.
     """
-    return df.select(split, *[c for c in df.columns if c != split])
+    if not splits:
+        raise ValueError("no splits to unite")
+    named = [df.select(F.lit(name).cast("string").alias(split), *[c for c in df.columns if c.lower() != split.lower()]) for name, df in splits.items()]
+    return union_all(*named, missing=True)
 
 
 def merge_corpora(corpora: Mapping[str, DataFrame]) -> DataFrame:

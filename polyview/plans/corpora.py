@@ -10,7 +10,7 @@ from polyview.operators import labels, ranks, sets
 from polyview.plans.base import q6, query, r6, table
 from polyview.schema import PHRASEBANK_CODES, SPLIT_SEED, TWEET_CODES
 from polyview.session import scratch_path
-from polyview.sources import jsonl
+from polyview.sources import jsonl, registry
 from polyview.sources.registry import TABLES, driver_tables, ingest
 
 EOS = "</s>"
@@ -245,8 +245,10 @@ def path_basename(spark, sf_dir):
 
 @query("union_splits", "SELECT lang AS split, doc_id, n_chars FROM documents")
 def union_splits(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("split"), "doc_id", "n_chars")
-    return sets.union_splits(docs)
+    """Every language is stored as a split table of its own; the tables found there are united again."""
+    root = scratch_path(spark, "splits")
+    registry.store_splits(table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), root, "lang")
+    return registry.scan_splits(spark, root)
 
 
 MERGED = f"substr(md5('{SPLIT_SEED}:' || %s), 1, 8) < '{hex_cut(TEST_SIZE)}'"

@@ -42,10 +42,13 @@ def build_session(name: str = "polyview", master: str | None = None, **extra: st
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where it is unset, a folder of the warehouse, which driver and executors
-    share as well.
+    Where it is unset, a folder of the warehouse; one on a machine's own disk is
+    refused unless the session runs on that machine alone.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    root = named or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    if not named and root.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{root} is not shared by the cluster: name a shared folder in spark.checkpoint.dir")
     return root.rstrip("/")
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from polyview.operators.sets import union_all
-from polyview.session import table_path
+from polyview.operators.sets import union_all, union_splits
+from polyview.session import subfolders, table_path
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -56,3 +57,32 @@ def ingest(df: DataFrame, path: str, force: bool = False, partition_by: tuple[st
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+SPLIT_FOLDER = "split="  # the folder of a split, named as the engine names partitions
+NO_SPLIT = "__HIVE_DEFAULT_PARTITION__"  # fixed value: the engine's folder for rows without one
+
+
+def store_splits(df: DataFrame, root: str, split: str = "split") -> None:
+    """Writes every value of ``split`` as a table of its own under ``root``, each in as many files as its size asks for.
+
+    A split written again replaces the stored one; the others stay.  An empty name counts as none.
+    """
+    kept = [c for c in df.columns if c.lower() not in (split.lower(), "split")]
+    spread = df.select(*kept, F.col(split).cast("string").alias("split")).hint("rebalance", F.col("split"))
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split").parquet(root)
+
+
+def split_tables(spark: SparkSession, root: str) -> dict[str | None, DataFrame]:
+    """The split tables under ``root`` by name; rows without a split have the name ``None``.
+
+    The list of splits is that of the folder, so none is left out and none has to be
+    known.  Every table has the columns it was stored with.
+    """
+    names = [f[len(SPLIT_FOLDER):] for f in subfolders(spark, root) if f.startswith(SPLIT_FOLDER)]
+    return {None if n == NO_SPLIT else unquote(n): spark.read.parquet(f"{root}/{SPLIT_FOLDER}{n}") for n in names}
+
+
+def scan_splits(spark: SparkSession, root: str) -> DataFrame:
+    """All stored splits as one table."""
+    return union_splits(split_tables(spark, root))

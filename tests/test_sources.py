@@ -153,9 +153,46 @@ def test_scratch_is_removed(spark, monkeypatch):
     assert not os.path.exists(folder)
 
 
-def test_union_of_splits_keeps_every_row(spark):
-    df = spark.createDataFrame([(1, "train"), (2, None), (3, "odd")], "x long, split string")
-    assert sorted(map(str, sets.union_splits(df).collect())) == sorted(map(str, df.select("split", "x").collect()))
+def test_stored_splits_are_united_again(spark, tmp_path):
+    root = str(tmp_path / "splits")
+    df = spark.createDataFrame([(1, "train"), (1, "train"), (2, None), (3, "odd name/%"), (4, "01")], "x long, part string")
+    registry.store_splits(df, root, "part")
+    assert set(registry.split_tables(spark, root)) == {"train", None, "odd name/%", "01"}
+    want = [("01", 4), ("None", 2), ("odd name/%", 3), ("train", 1), ("train", 1)]
+    assert sorted((str(r["split"]), r["x"]) for r in registry.scan_splits(spark, root).collect()) == want
+
+    # A split stored again replaces its own table only, and may have other columns.
+    more = spark.createDataFrame([(9, 0.5, "train")], "x long, weight double, part string")
+    registry.store_splits(more, root, "part")
+    got = registry.scan_splits(spark, root)
+    assert set(got.columns) == {"split", "x", "weight"}
+    assert sorted((str(r["split"]), r["x"], str(r["weight"])) for r in got.collect()) == [
+        ("01", 4, "None"), ("None", 2, "None"), ("odd name/%", 3, "None"), ("train", 9, "0.5")]
+
+
+def test_union_of_no_splits_is_an_error(spark, tmp_path):
+    registry.store_splits(spark.createDataFrame([], "x long, split string"), str(tmp_path / "none"))
+    with pytest.raises(ValueError, match="no splits"):
+        registry.scan_splits(spark, str(tmp_path / "none"))
+    clash = spark.createDataFrame([(1, "own")], "x long, SPLIT string")
+    assert [tuple(r) for r in sets.union_splits({"a": clash}).collect()] == [("a", 1)]
+
+
+def test_a_local_scratch_folder_is_refused_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.sql.warehouse.dir": "file:/home/me/spark-warehouse"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:1"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(Session)
+    Session.sparkContext.master = "local[2]"
+    assert scratch_root(Session) == "file:/home/me/spark-warehouse/_scratch"
 
 
 def test_worker_functions_travel_without_the_package(tmp_path):

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from polyview.functions import vectors as V
 from polyview.operators import routing
+from polyview.streaming import totals
 from polyview.streaming.scoring import drain, read_stream, score_stream
 from tests.helpers import decisions_frame
 
@@ -34,3 +35,38 @@ def test_stream_errors_surface(spark, tmp_path):
     bad = lambda df: df.select(F.raise_error(F.lit("boom")).cast("int").alias("x"))
     with pytest.raises(Exception, match="boom"):
         drain(score_stream(read_stream(spark, src, spark.read.parquet(src).schema), bad, str(tmp_path / "o"), str(tmp_path / "p")))
+
+
+def test_totals_survive_a_restart_and_a_repeated_batch(spark, tmp_path):
+    src, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    rows = [(i % 3, None if i % 7 == 0 else (i * i) % 3, float(i)) for i in range(60)]
+    schema = "y int, pred int, nll double"
+    df = spark.createDataFrame(rows, schema)
+    keys = ["y", "pred"]
+
+    def pass_over(part):
+        part.repartition(2).write.mode("append").parquet(src)
+        source = read_stream(spark, src, df.schema, files_per_trigger=1)
+        drain(totals.total_stream(source, keys, {"nll": F.col("nll")}, out, progress))
+
+    def found():
+        return sorted(map(str, totals.latest_totals(spark, out).collect()))
+
+    pass_over(df.where("nll < 25"))
+    half = totals.versions(spark, out)
+    pass_over(df.where("nll >= 25"))
+    known = totals.versions(spark, out)
+    assert len(half) == 2 and len(known) == 4
+    want = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("nll").alias("nll"))
+    assert found() == sorted(map(str, want.collect()))
+
+    # The last batch again, as after a failure: same version, same totals.
+    changed = want.exceptAll(totals.read_version(spark, out, known[-2]))
+    assert 0 < changed.count() < want.count()
+    totals.publish_totals(changed, known[-1], out, keys)
+    assert totals.versions(spark, out) == known and found() == sorted(map(str, want.collect()))
+
+
+def test_totals_without_a_batch_are_an_error(spark, tmp_path):
+    with pytest.raises(ValueError, match="no totals"):
+        totals.latest_totals(spark, str(tmp_path))
