@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 NULL_ID = -(2**63)  # stands for a NULL id inside an operator: sorts first, like NULL
@@ -42,14 +43,19 @@ def text_key(text: Column) -> Column:
 
 
 def process_state(name: str, make: Callable[[], object]) -> object:
-    """One object per Python worker process, shared by the tasks it runs one after another.
+    """One object per Python worker process, shared by the tasks of a stage that it runs one after another.
 
     Task functions travel by value, so a module global would start anew in every task.
+    A worker outlives its stage: what earlier stages kept is let go when the next one asks.
     """
     home = sys.modules.setdefault("polyview_process_state", types.ModuleType("polyview_process_state"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if getattr(home, "stage", None) != stage or not hasattr(home, "kept"):
+        home.stage, home.kept = stage, {}
+    if name not in home.kept:
+        home.kept[name] = make()
+    return home.kept[name]
 
 
 def small_batches(spark: SparkSession) -> None:
