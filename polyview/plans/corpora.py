@@ -290,6 +290,22 @@ def append_results(spark, sf_dir):
     return sets.union_all(docs, events, missing=True)
 
 
+@query(
+    "publish_results",
+    """SELECT lang AS run, quality AS pass, count(*) AS n, sum(n_chars)::BIGINT AS chars
+    FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL""",
+)
+def publish_results(spark, sf_dir):
+    """Results per run and pass, published twice: the second time replaces a stale result and adds nothing."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    results = docs.groupBy(F.col("lang").alias("run"), F.col("quality").alias("pass")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")
+    )
+    root = scratch_path(spark, "results")
+    registry.publish(results.withColumn("n", -F.col("n")), root, ["run", "pass"])
+    return registry.publish(results, root, ["run", "pass"])
+
+
 @query(
     "split_passthrough",
     """SELECT doc_id, CASE lang WHEN 'de' THEN 'test' WHEN 'es' THEN 'test' ELSE 'train' END AS split FROM documents""",

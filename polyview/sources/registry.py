@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from polyview.operators.sets import union_all, union_splits
 from polyview.session import subfolders, table_path
@@ -50,13 +50,41 @@ def driver_tables(spark: SparkSession, sf_dir: str) -> Registry:
     return Registry(spark, {name: table_path(sf_dir, name) for name in TABLES})
 
 
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has ended: the engine leaves its marker last."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def ingest(df: DataFrame, path: str, force: bool = False, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Stores ``df`` unless something is there already; ``force`` stores it anew."""
-    writer = df.write.mode("overwrite" if force else "ignore")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Stores ``df`` unless it is there as a whole; ``force`` stores it anew, and so does a write that did not end."""
+    spark = df.sparkSession
+    if force or not is_whole(spark, path):
+        writer = df.write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
+    return spark.read.parquet(path)
+
+
+def publish(df: DataFrame, root: str, by: Sequence[str]) -> DataFrame:
+    """Stores results under their keys ``by`` and gives all that is stored there.
+
+    Rows are staged and moved in when the write ends, and they replace what was stored
+    under the same keys: a pass that is published again is there once, and the results
+    of other passes stay.  A NULL key is a key of its own; an empty string counts as
+    NULL.  Columns that only some results have are NULL for the others.
+    """
+    spark = df.sparkSession
+    types = {f.name: f.dataType for f in df.schema.fields}
+    spread = df.hint("rebalance", *[F.col(c) for c in by])
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(root)
+    if not subfolders(spark, root):
+        return df.limit(0)
+    # keys are read as they are written, not as the numbers that their texts may look like
+    found = spark.read.option("mergeSchema", True).parquet(root)
+    schema = StructType([StructField(f.name, types[f.name] if f.name in by else f.dataType) for f in found.schema.fields])
+    return spark.read.schema(schema).parquet(root).select(*df.columns, *[c for c in found.columns if c not in types])
 
 
 SPLIT_FOLDER = "split="  # the folder of a split, named as the engine names partitions

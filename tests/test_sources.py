@@ -26,6 +26,31 @@ def test_ingest_keeps_what_is_there_unless_forced(spark, tmp_path):
     assert registry.ingest(spark.range(5), path, force=True).count() == 5
 
 
+def test_ingest_stores_a_half_written_corpus_anew(spark, tmp_path):
+    path = tmp_path / "corpus"
+    registry.ingest(spark.range(3), str(path))
+    (path / "_SUCCESS").unlink()
+    assert registry.ingest(spark.range(5), str(path)).count() == 5
+    assert registry.ingest(spark.range(7), str(path)).count() == 5
+
+
+def test_a_pass_published_again_is_there_once(spark, tmp_path):
+    root = str(tmp_path / "results")
+    schema = "run string, pass int, score double"
+    first = spark.createDataFrame([("01", 0, 0.5), ("01", 0, 0.5), ("01", 1, 0.6), (None, None, 0.1)], schema)
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    assert rows(registry.publish(first, root, ["run", "pass"])) == rows(first)
+    again = registry.publish(first.where("pass = 0").withColumn("score", F.lit(0.9)), root, ["run", "pass"])
+    assert again.schema.simpleString() == first.schema.simpleString()
+    assert rows(again) == rows(first.withColumn("score", F.when(F.col("pass") == 0, 0.9).otherwise(F.col("score"))))
+    wider = registry.publish(spark.createDataFrame([("b", 2, 0.7, 4)], schema + ", n long"), root, ["run", "pass"])
+    assert wider.count() == 5 and wider.where("n is not null").count() == 1
+    assert registry.publish(first.limit(0), str(tmp_path / "none"), ["run", "pass"]).count() == 0
+
+
 def test_examples_round_trip_keeps_nulls_and_unicode(spark, tmp_path):
     rows = [("d", "train", "café €\n\"q\"", None), ("d", "test", None, "neutral")]
     df = spark.createDataFrame(rows, "dataset string, split string, input string, output string")
