@@ -1,4 +1,7 @@
+import sys
+
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
 from polyview.llm import words as W
@@ -47,3 +50,17 @@ def test_grams_and_sliding_min(values, size):
 
 def test_process_state_is_made_once():
     assert process_state("test_state", lambda: []) is process_state("test_state", lambda: [1])
+
+
+def test_what_a_worker_keeps_ends_with_its_stage(spark):
+    def kept(name):
+        def run(batches):
+            for _ in batches:
+                made = [process_state(name, dict), process_state(name, dict)]
+                home = sys.modules["polyview_process_state"]
+                yield pa.RecordBatch.from_pydict({"names": [" ".join(sorted(home.kept))], "same": [made[0] is made[1]]})
+
+        return [tuple(r) for r in spark.range(1).coalesce(1).mapInArrow(run, "names string, same boolean").collect()]
+
+    assert kept("a") == [("a", True)]
+    assert kept("b") == [("b", True)]
