@@ -2,6 +2,7 @@ import hashlib
 import math
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
@@ -135,3 +136,13 @@ def test_numeric_and_event_features(spark):
         *[c.alias(k) for k, c in X.lexicon_hits(F.col("w"), {"a": ["up", "on"], "b": ["no"]}).items()]
     )
     assert [tuple(r) for r in hits.collect()] == [(2, 0), (0, 0)]
+
+
+def test_gathered_tokens_come_in_bounded_slices():
+    lists = [["a", "b", "a"] * 30, [], None, ["c"] * 500, ["a", "c"], ["b"] * 99, ["d"]] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists)), pa.int64()), pa.array(lists, pa.list_(pa.string()))], ["doc_id", "words"])
+    out = list(tokens.gathered("doc_id", "words", 100)(iter([batch])))
+    assert all(sum(map(len, b.column("positions").to_pylist())) <= 100 or len(set(b.column("doc_id").to_pylist())) == 1 for b in out)
+    got = {(r["doc_id"], r["token"]): r["positions"] for b in out for r in b.to_pylist()}
+    want = {(i, w): [p for p, x in enumerate(ws) if x == w] for i, ws in enumerate(lists) for w in set(ws or [])}
+    assert got == want and sum(b.num_rows for b in out) == len(want)
