@@ -146,3 +146,24 @@ def test_gathered_tokens_come_in_bounded_slices():
     got = {(r["doc_id"], r["token"]): r["positions"] for b in out for r in b.to_pylist()}
     want = {(i, w): [p for p, x in enumerate(ws) if x == w] for i, ws in enumerate(lists) for w in set(ws or [])}
     assert got == want and sum(b.num_rows for b in out) == len(want)
+
+
+REPEATED = [(1, "a b a"), (2, "c"), (2, "d d"), (None, "a"), (None, "e b"), (3, ""), (4, None), (5, "b a z"), (2, "")]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    return spark.createDataFrame(REPEATED, "doc_id long, text string").select("doc_id", X.tokens(F.col("text")).alias("words")).cache()
+
+
+def test_tf_idf_counts_a_repeated_key_as_one_text(repeated):
+    counts = {}
+    for i, text in REPEATED:
+        for w in words(text or ""):
+            counts.setdefault(i, Counter())[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64] += 1
+    met = Counter(b for c in counts.values() for b in c)
+    want = {(i, b): n * math.log((len(REPEATED) + 1) / (met[b] + 1)) for i, c in counts.items() for b, n in c.items()}
+    rows = tokens.sparse_tf_idf(repeated, "doc_id", "words", 64)
+    got = {(r["doc_id"], r["pos"]): r["v"] for r in rows.collect()}
+    assert got == pytest.approx(want) and rows.count() == len(want)
+    assert "SortMergeJoin" not in plan(rows)  # the frequencies go to the texts, whatever the number of these
