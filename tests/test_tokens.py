@@ -156,6 +156,19 @@ def repeated(spark):
     return spark.createDataFrame(REPEATED, "doc_id long, text string").select("doc_id", X.tokens(F.col("text")).alias("words")).cache()
 
 
+def test_encode_shuffles_words_of_slices(repeated):
+    vocab = tokens.vocabulary(tokens.token_counts(repeated.where("doc_id < 5"), "words"))
+    ids = dict(vocab.select("token", "token_id").collect())
+    merged = {}
+    for i, text in REPEATED:
+        for p, w in enumerate(words(text or "")):
+            merged.setdefault(i, []).append((p, ids.get(w, tokens.UNKNOWN_ID)))
+    want = [(i, [x for _, x in sorted(ps)]) for i, ps in merged.items()] + [(i, []) for i, t in REPEATED if not t]
+    encoded = tokens.encode(repeated, "doc_id", "words", vocab)
+    assert sorted(map(tuple, encoded.collect()), key=str) == sorted(want, key=str)
+    assert "CoGroup" in plan(encoded)
+
+
 def test_tf_idf_counts_a_repeated_key_as_one_text(repeated):
     counts = {}
     for i, text in REPEATED:
