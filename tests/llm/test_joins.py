@@ -12,6 +12,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from polyview.llm import jaccard, negatives, spelling
+from polyview.llm.common import id_text
 from tests.llm import cases
 from tests.llm.test_dedup import classes
 
@@ -95,6 +96,33 @@ def test_split_regions_hold_every_link_in_the_homes_of_both_ends(spark):
     assert {r.u: r.n for r in found if r.n} == {i: n for i, n in want.items() if n} and sum(want.values()) > 100
 
 
+def test_many_rare_shingles_of_a_bucket_do_not_look_frequent(spark):
+    """Few texts share a passage, and every bucket has more rare shingles than the passage has texts."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(24))
+    texts = [" ".join([*(f"u{rng.randrange(10**9)}" for _ in range(200)), passage if i < 10 else ""]) for i in range(100)]
+    rows = id_text(cases.documents(spark, list(enumerate(texts)))).withColumn("_key", F.xxhash64("_text"))
+    sets = jaccard.row_sets(rows.toArrow().combine_chunks().to_batches()[0], 5)
+    shared = np.intersect1d(*sorted(sets, key=len)[-2:])
+    ranks = jaccard.bucket_ranks(rows, 5, share=1, buckets=1 << 10)
+    assert len(shared) == 20 and sum(map(len, sets)) > 16 << 10
+    first = [jaccard.ordered(s, ranks)[:jaccard.first_part(len(s), 80)] for s in sets]
+    assert len(np.unique(np.concatenate(first))) == sum(map(len, first))
+    # no more than ``frequent`` shingles are known
+    assert np.count_nonzero(jaccard.bucket_ranks(rows, 5, share=1, frequent=19, buckets=1 << 10)) == 0
+
+
+def test_only_texts_that_may_link_are_read_again(spark):
+    keys = [-(2**63), -5, -1, 0, 1, 2**20, 2**63 - 1, 12345]
+    table = jaccard.slot_table(
+        spark.createDataFrame([(k, v) for k in keys[::2] for v in (1, 7)], "_key long, value int").select(jaccard._slot("_key", 1 << 20).alias("slot"), "value"), 1 << 20
+    )
+    assert len(table) == 1 << 20 and sorted(table[table > 0].tolist()) == [7] * len({k % 2**20 for k in keys[::2]})
+    rows = spark.createDataFrame([(k,) for k in keys], "_key long")
+    got = {r._key for r in rows.mapInArrow(jaccard._among(table), rows.schema).collect()}
+    assert got == {k for k in keys if k % 2**20 in {x % 2**20 for x in keys[::2]}} and len(got) < len(keys)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60))
 def test_folded_counts_bound_the_intersection(a, b, both):
