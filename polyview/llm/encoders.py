@@ -19,6 +19,7 @@ A text that holds the string of a special token goes to the library as a whole.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
@@ -85,6 +86,9 @@ class Encoder:
     def _whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
 
+    def _encoded(self, texts: list[str]) -> list[Sequence[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _cut(self, buf: np.ndarray, offsets: np.ndarray) -> Words:
         begin = class_changes(buf)
         if self.words:
@@ -104,7 +108,7 @@ class Encoder:
         return Words(buf, starts, ends, np.searchsorted(starts, offsets))
 
     def _learn(self, texts: list[str], hashes: np.ndarray, check: np.ndarray) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self._encoded(texts)
         counts = np.fromiter(map(len, found), np.int64, len(found))
         at = np.searchsorted(self.names, hashes)
         self.names = np.insert(self.names, at, hashes)

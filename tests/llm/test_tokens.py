@@ -62,6 +62,31 @@ def test_codec_agrees_with_the_library():
         assert codec.decode(ids).decode() == text
 
 
+@pytest.mark.parametrize("known, block, rows", [(50, 1 << 20, 37), (1 << 18, 1 << 20, 100), (1 << 18, 4, 1)])
+def test_batches_agree_with_the_library(known, block, rows, monkeypatch):
+    monkeypatch.setattr(chunks, "BLOCK", block)
+    encode, library = bpe.BatchCodec(bpe.Codec(bpe.read_ranks(RANKS)), known), library_codec()
+    texts = [*odd_texts(2000), "a" * 5000, "ab" * 3000, "x" * 20_000, "", "<|endoftext|> it's"]
+    for at in range(0, len(texts), rows):
+        part = texts[at:at + rows]
+        ids, counts = encode(*byte_column(pa.array(part)))
+        want = [library.encode_ordinary(t) for t in part]
+        assert counts.tolist() == [len(w) for w in want], part
+        assert ids.tolist() == [i for w in want for i in w], part
+
+
+def test_a_chunk_is_merged_once():
+    """Also if more words lie between its places than a worker used to remember in a half."""
+    encode = bpe.BatchCodec(bpe.Codec(bpe.read_ranks(RANKS)))
+    seen, merge = Counter(), encode.codec.merge
+    encode.codec.merge = lambda p: seen.update([p]) or merge(p)
+    words = [f"qz{''.join(chr(97 + int(d)) for d in str(i))}" for i in range(300_000)]
+    texts = [" ".join(words[at:at + 1000]) + ", qzzqqzqx." for at in range(0, len(words), 1000)]
+    for part in (texts, texts[:20]):
+        encode(*byte_column(pa.array(part)))
+    assert len(seen) > 200_000 and max(seen.values()) == 1
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.sets(st.binary(max_size=8), max_size=300))
 def test_perfect_hash_is_minimal(keys):
