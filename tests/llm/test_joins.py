@@ -96,6 +96,45 @@ def test_split_regions_hold_every_link_in_the_homes_of_both_ends(spark):
     assert {r.u: r.n for r in found if r.n} == {i: n for i, n in want.items() if n} and sum(want.values()) > 100
 
 
+def test_near_copies_are_sent_once_and_short_however_many_pivots_there_are(spark):
+    """Two groups of near copies that one region holds: no copy lies in the windows of several pivots, and only what differs is sent."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for c in range(2):
+        base = np.unique(rng.integers(0, 2**63, 400, np.uint64))
+        own = [base] + [np.concatenate([rng.choice(base, len(base) - e, False), rng.integers(0, 2**63, e, np.uint64)]) for e in rng.integers(1, 30, 60)]
+        sets += [np.unique(s) for s in own]
+    rows = [(i, len(s), 1 + i % 3, i % 5 == 0, bytearray(s.tobytes()), 9.0, 7, True, 0) for i, s in enumerate(sets)]
+    regions = spark.createDataFrame(rows, "sid long, n long, rows long, late boolean, tokens binary, before double, region long, home boolean, base long")
+    cells = jaccard.split(regions, 80, 8).collect()
+    assert len(cells) <= 2 * len(sets) and sum(r.home for r in cells) == len(sets)
+    assert sum(len(r.tokens) for r in cells if r.home) < 0.25 * sum(8 * len(s) for s in sets)
+    want = Counter()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            common = len(np.intersect1d(a, b))
+            if i != j and not rows[i][3] * rows[j][3] and 100 * common >= 80 * (len(a) + len(b) - common):
+                want[i] += rows[j][2]
+    assert 0 < len(want) and max(want.values()) < 3 * len(sets)
+    places = F.array(F.struct("region", "late", F.col("before").alias("load")))
+    points = regions.select("sid", "n", "rows", places.alias("places"), "tokens")
+    for room in (1 << 18, 4000, 500):
+        found = jaccard.region_links(points, room=room, pivots=8).groupBy("u").agg(F.sum("links").alias("n")).collect()
+        assert {r.u: r.n for r in found if r.n} == want
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30), min_size=1), min_size=3, max_size=8, unique_by=frozenset), st.integers(50, 100))
+def test_sets_coded_against_another_compare_like_the_sets(sets, percent):
+    raw = [np.array(sorted(s), np.uint64) for s in sets]
+    sizes, ones, early = np.array([len(s) for s in raw]), np.ones(len(raw), np.int64), np.zeros(len(raw), bool)
+    want, least = jaccard.compare(raw, sizes, 0, ones, early, None, percent)
+    for pivot in raw:
+        coded = [np.setxor1d(s, pivot) for s in raw]
+        links, reached = jaccard.compare(coded, sizes, len(pivot), ones, early, None, percent)
+        assert links.tolist() == want.tolist() and reached.tolist() == least.tolist()
+
+
 def test_many_rare_shingles_of_a_bucket_do_not_look_frequent(spark):
     """Few texts share a passage, and every bucket has more rare shingles than the passage has texts."""
     rng = random.Random(6)
