@@ -11,6 +11,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from polyview import session
 from polyview.llm import jaccard, negatives, spelling
 from polyview.llm.common import id_text
 from tests.llm import cases
@@ -123,6 +124,16 @@ def test_near_copies_are_sent_once_and_short_however_many_pivots_there_are(spark
         assert {r.u: r.n for r in found if r.n} == want
 
 
+def test_what_is_read_no_more_is_let_go(spark, monkeypatch):
+    """Of the shingles that texts share, of the texts read again and of the cells of split regions nothing is left."""
+    monkeypatch.setattr(session, "_written", [])
+    kept = session.stored(spark.range(9))
+    assert jaccard.jaccard_join(cases.documents(spark, groups_of_copies()), room=100).count() == len(groups_of_copies())
+    left = {w.rsplit("/", 1)[-1].rsplit("-", 1)[0] for w in session._written}
+    assert {"survey", "sets", "links"} <= left and not left & {"shared", "points", "cells"}
+    assert kept.count() == 9
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 30), min_size=1), min_size=3, max_size=8, unique_by=frozenset), st.integers(50, 100))
 def test_sets_coded_against_another_compare_like_the_sets(sets, percent):
